@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnspark.functions.names import name_key
-from kilnspark.llm import merkle, mixing, sampling, topn
+from kilnspark.llm import confusables, leakage, merkle, mixing, pairs, sampling, topn, truncation
 from kilnspark.session import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,54 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.collapse(table(spark, sf_dir, "candidates"), "cand_id", CANDIDATE_TREE)
 
 
+# Problem 2: broken prompt and response pairs
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.answers_of(table(spark, sf_dir, "completions_greedy"), table(spark, sf_dir, "prompts"))
+
+
+@_query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each defective answer with its type of defect, one row per defect."""
+    return pairs.defects(cut_lineage(_answers(spark, sf_dir))).select(F.col("id").alias("row_id"), "defect_type")
+
+
+# Problem 4: text cut off by field limits
+
+
+@_query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions whose text was cut."""
+    return truncation.cut_posteriors(_answers(spark, sf_dir)).where("cut > 0.5").select(F.col("id").alias("row_id"))
+
+
+@_query()
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut rows per export_source."""
+    return truncation.source_rates(truncation.cut_posteriors(_answers(spark, sf_dir)))
+
+
+# Problem 5: visually identical text
+
+
+def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "completions_greedy").select("row_id", "completion_text", "target_word")
+
+
+@_query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions in which a reader sees the target while the stored characters don't hold it."""
+    return confusables.seen_but_not_stored(_completions(spark, sf_dir), "completion_text", "target_word").select("row_id")
+
+
+@_query()
+def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All completions and targets in their consistent form."""
+    forms = {c: confusables.consistent_form(F.col(c)) for c in ("completion_text", "target_word")}
+    return _completions(spark, sf_dir).withColumns(forms)
+
+
 # Problem 3: top three of every group
 
 _TOP_SQL = r"""
@@ -126,6 +174,21 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.shares_reached(table(spark, sf_dir, "prompts"), table(spark, sf_dir, "sample_targets"))
 
 
+# Problem 7: evaluation texts in the corpus
+
+
+@_query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items they hold."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@_query()
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold passages, without them."""
+    return leakage.cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 # Problem 8: mixing sources to target weights
 
 
