@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnspark.functions.names import name_key
-from kilnspark.llm import confusables, leakage, merkle, mixing, pairs, sampling, topn, truncation
+from kilnspark.llm import confusables, leakage, merkle, mixing, pairs, quality, sampling, topn, truncation
 from kilnspark.session import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,18 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached shares of the sources."""
     return mixing.shares(cut_lineage(_sized(spark, sf_dir)), table(spark, sf_dir, "mix_targets"))
+
+
+# Problem 9: text quality statistics
+
+
+@_query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents most of whose text isn't prose, with their kind."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
+
+
+@_query()
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, shares of the kinds of text and kind of every document."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
