@@ -75,7 +75,7 @@ def shape_of(line: str, common: frozenset[str]) -> str:
         return "s"
     if letters < 0.5 * len(s.replace(" ", "")):
         return "t" if re.fullmatch(r"[\s|:+=-]+", s) and "|" in s else "s"
-    if sum(w in common for w in words) >= 0.18 * len(words) and len(words) > 2:
+    if sum(w in common for w in words) >= 0.18 * len(words) and len(words) > (2 if _END.search(s) else 4):
         return "p"
     return "m" if _MARKER.match(s) else "w"
 
