@@ -81,7 +81,8 @@ def repetition_capped(df: DataFrame, categories: Sequence[str] = CATEGORIES, mos
     have used up; five steps, not one per row. Words used so far are cut off
     from the plan after each step.
     """
-    used, kept = None, []
+    # Written once: each step would otherwise rank the whole table again.
+    df, used, kept = cut_lineage(df), None, []
     for c in categories:
         rows = df.where(F.col("category") == c)
         if used is not None:

@@ -498,7 +498,7 @@ _ALL_KEPT = " union all ".join(f"select val_id, category from k{i}" for i in ran
 @_query(f"with {_VAL}, {_RANKED}, {_ONCE}, w as (select *, pos \"rank\" from once where word is not null), {_capped_sql('w')} {_ALL_KEPT}")
 def repetition_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts left when a word may occur in two categories only, categories in order."""
-    rows = _once(spark, sf_dir).where("word is not null").withColumn("rank", F.col("pos"))
+    rows = _once(spark, sf_dir).where("word is not null").select("val_id", "category", "word", F.col("pos").alias("rank"))
     return select.repetition_capped(rows).select("val_id", "category")
 
 
@@ -507,7 +507,7 @@ def repetition_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole selection: thresholds, balance, back-fill, repetition cap and quota."""
     filled = select.backfilled(_once(spark, sf_dir), 100, 1_000_000_000)
-    return select.repetition_capped(filled.where("word is not null"), quota=300).select("val_id", "category")
+    return select.repetition_capped(filled.where("word is not null").select("val_id", "category", "word", "rank"), quota=300).select("val_id", "category")
 
 
 @_query("""select val_id, (row_number() over (partition by string_split(source_trace, ':')[2] order by val_id) - 1) % 10 style_no from validated where source_trace like 'conceptnet:%'""")

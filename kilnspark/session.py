@@ -52,6 +52,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many parts as there are cores, for stages whose cost lies in Python and not in bytes.
+
+    A table of many row groups stays as it is and isn't shuffled.
+    """
+    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if parts >= cores else scan.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
