@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.llm.confusables import consistent
+from kilnspark.session import spread
 
 #: Least words of an item in a row, and of how many words one may differ.
 LEAST, PER_ERROR = 20, 8
@@ -195,7 +196,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                         rows.append((i, p.items[n][0], begin[a], end[b]))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "span_start", "span_end"])
 
-        read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+        read = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null"))
         found = read.mapInPandas(run, "doc_id long, item_id long, span_start int, span_end int")
         out = found if out is None else out.unionByName(found)
     return out

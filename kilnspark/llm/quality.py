@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.llm.trees import BoostedTrees
+from kilnspark.session import spread
 
 KINDS = ("prose", "list", "table", "junk")
 #: The trees are fitted on runs of about this many documents of at most so many characters; all documents are scored whole.
@@ -356,4 +357,4 @@ def judged(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
             out["doc_kind"] = kinds
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, shape)
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, shape)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilnspark.functions.names import name_key
 from kilnspark.llm import confusables, leakage, merkle, mixing, pairs, quality, sampling, topn, truncation
-from kilnspark.session import cut_lineage, table
+from kilnspark.session import cut_lineage, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -194,7 +194,7 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.token_counts(docs).drop("text")
+    return mixing.token_counts(spread(docs)).drop("text")
 
 
 @_query()
