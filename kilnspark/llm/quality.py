@@ -341,7 +341,7 @@ def judged(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     them that has most. The shares given are expected values.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_kinds(docs, lexicon))
-    shape = "doc_id long, " + ", ".join(f"{s} {'long' if s.endswith('_count') else 'double'}" for s in STATS) + ", " + ", ".join(f"{k}_share double" for k in KINDS) + ", doc_kind string"
+    shape = "doc_id string, " + ", ".join(f"{s} {'long' if s.endswith('_count') else 'double'}" for s in STATS) + ", " + ", ".join(f"{k}_share double" for k in KINDS) + ", doc_kind string"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: KindModel = model.value
@@ -357,4 +357,6 @@ def judged(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
             out["doc_kind"] = kinds
             yield out
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, shape)
+    # Ids go through Python as text, as a null among them would turn whole numbers into floats.
+    read = spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return read.mapInPandas(run, shape).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
