@@ -268,7 +268,8 @@ def first_token(c: Column) -> Column:
 def json_fragments(c: Column) -> Column:
     """Candidates for JSON in a model's answer: fenced block, whole text, outermost braces, outermost brackets."""
     parts = [F.regexp_extract(c, p, 1) for p in (r"(?s)```(?:json)?\s*(.*?)```", r"(?s)^(.*)$", r"(?s)(\{.*\})", r"(?s)(\[.*\])")]
-    return F.array_distinct(F.filter(F.transform(F.array(*parts), F.trim), lambda p: p != ""))
+    bare = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
+    return F.array_distinct(F.filter(F.transform(F.array(*parts), bare), lambda p: p != ""))
 
 
 def first_json(c: Column) -> Column:

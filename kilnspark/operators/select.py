@@ -58,19 +58,23 @@ def chosen_tau(ladder: DataFrame) -> DataFrame:
     return ladder.groupBy("category").agg(F.coalesce(F.max(F.when(F.col("reached"), F.col("tau"))), F.min("tau")).alias("tau"))
 
 
-def backfilled(df: DataFrame, per_bin: int, quota: int) -> DataFrame:
+def backfilled(df: DataFrame, per_bin: int, quota: int, whole_ranking: bool = False) -> DataFrame:
     """Per category the balanced set at its threshold, filled up to ``quota`` with the next best rows.
 
     ``df``: category, prompt_id, p_sem, s_score, pos, bin_id. Adds priority
-    (0 balanced, 1 filled in) and rank within the category. The few thresholds
-    are one row per category.
+    (0 balanced, the best ``quota`` of them; 1 filled in) and rank within the
+    category. ``whole_ranking`` keeps the rows behind the quota too, for steps
+    that may refuse some. The few thresholds are one row per category.
     """
     tau = chosen_tau(tau_ladder(df, per_bin, quota))
     with_tau = df.join(F.broadcast(tau), "category", "left").withColumn("gated", F.coalesce(F.col("p_sem") >= F.col("tau"), F.lit(False)))
     in_bin = Window.partitionBy("category", "bin_id", "gated").orderBy(F.col("s_score").desc(), F.col("pos"))
-    prioritised = with_tau.withColumn("priority", F.when(F.col("gated") & (F.row_number().over(in_bin) <= per_bin), 0).otherwise(1))
-    order = [F.col("priority"), F.col("s_score").desc(), F.col("pos")]
-    return ranked(prioritised, ["category"], order).where(F.col("rank") <= quota).drop("gated", "tau")
+    best = [F.col("s_score").desc(), F.col("pos")]
+    balanced = with_tau.withColumn("balanced", F.col("gated") & (F.row_number().over(in_bin) <= per_bin))
+    first = F.row_number().over(Window.partitionBy("category", "balanced").orderBy(*best))
+    prioritised = balanced.withColumn("priority", F.when(F.col("balanced") & (first <= quota), 0).otherwise(1))
+    out = ranked(prioritised, ["category"], [F.col("priority"), *best]).drop("gated", "tau", "balanced")
+    return out if whole_ranking else out.where(F.col("rank") <= quota)
 
 
 def repetition_capped(df: DataFrame, categories: Sequence[str] = CATEGORIES, most: int = 2, quota: int | None = None) -> DataFrame:

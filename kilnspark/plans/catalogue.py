@@ -502,12 +502,12 @@ def repetition_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.repetition_capped(rows).select("val_id", "category")
 
 
-@_query(f"""with {_VAL}, {_RANKED}, {_ONCE}, {_FILL.replace("from once", "from once")}, w as (select *, r "rank" from fill where word is not null),
-  {_capped_sql('w', 'qualify row_number() over (order by r) <= 300')} {_ALL_KEPT}""")
+@_query(f"""with {_VAL}, {_RANKED}, {_ONCE}, {_FILL}, w as (select *, r "rank" from fill where word is not null),
+  {_capped_sql('w', 'qualify row_number() over (order by r) <= 500')} {_ALL_KEPT}""")
 def category_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole selection: thresholds, balance, back-fill, repetition cap and quota."""
-    filled = select.backfilled(_once(spark, sf_dir), 100, 1_000_000_000)
-    return select.repetition_capped(filled.where("word is not null").select("val_id", "category", "word", "rank"), quota=300).select("val_id", "category")
+    filled = select.backfilled(_once(spark, sf_dir), 100, 500, whole_ranking=True)
+    return select.repetition_capped(filled.where("word is not null").select("val_id", "category", "word", "rank"), quota=500).select("val_id", "category")
 
 
 @_query("""select val_id, (row_number() over (partition by string_split(source_trace, ':')[2] order by val_id) - 1) % 10 style_no from validated where source_trace like 'conceptnet:%'""")

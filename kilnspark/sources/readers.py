@@ -47,7 +47,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, keep_bad: bool = Fal
     """Records of a JSON-lines log. A missing file has none; blank and broken lines are left out, or kept in ``_corrupt``."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema + (", _corrupt string" if keep_bad else ""))
-    rows = spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    # Parsed from text lines, so that a query of few columns still finds broken records.
+    parsed = F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
     return rows if keep_bad else rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
