@@ -18,9 +18,8 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     hot key. Null keys match nothing and are spread by their row's content.
     """
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    limit = F.greatest(F.lit(float(HOT_ROWS)), F.col("_total") / HOT_PARTS)
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") > limit)
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).scalar()
+    hot = counts.where(F.col("_n") > F.greatest(F.lit(float(HOT_ROWS)), total / HOT_PARTS))
     hot = hot.select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_parts"))
     tag = lambda d: d.join(F.broadcast(hot), d[key] == F.col("_hot"), "left").drop("_hot")
     spread = F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")])

@@ -196,6 +196,6 @@ def leak_reasons(df: DataFrame) -> DataFrame:
 def balanced_subset(df: DataFrame, outcome: str, id_col: str, seed: int = 42) -> DataFrame:
     """All successes and as many failures in hashed order; rank runs within the outcome."""
     sizes = df.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"))
-    least = sizes.agg(F.min("n").alias("least"))
+    least = sizes.agg(F.min("n").alias("least")).scalar()
     order = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col))), 1, 8), 16, 10).cast("bigint"), F.col(id_col)]
-    return ranked(df, [outcome], order).crossJoin(F.broadcast(least)).where((F.col(outcome) == "success") | (F.col("rank") <= F.col("least"))).drop("least")
+    return ranked(df, [outcome], order).where((F.col(outcome) == "success") | (F.col("rank") <= least))

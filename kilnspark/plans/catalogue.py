@@ -182,7 +182,7 @@ def high_pressure_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts above the upper quartile, held within bounds."""
     p = _p(spark, sf_dir).select("prompt_id", "p0")
     t = p.agg(F.greatest(F.lit(0.7), F.least(F.lit(0.95), F.percentile("p0", F.lit(0.75)))).alias("t"))
-    return p.crossJoin(F.broadcast(t)).where("p0 >= t").select("prompt_id", _r(F.col("p0"), "p0"), _r(F.col("t"), "threshold"))
+    return p.where(F.col("p0") >= t.scalar()).select("prompt_id", _r(F.col("p0"), "p0"), F.round(t.scalar(), DIGITS).alias("threshold"))
 
 
 @_query(r"""select distinct p0_bin label, round(coalesce(try_cast(nullif(regexp_extract(p0_bin, '(?:^|[\[=])\s*(\d+(?:\.\d+)?)', 1), '') as double), 'inf'::double), 6) lower,

@@ -173,8 +173,8 @@ def bootstrap_table(prompts: DataFrame, behaviour_metrics: DataFrame, psem: Data
 def high_pressure_subset(prompts: DataFrame, outcomes: DataFrame, seed: int = 42) -> DataFrame:
     """(prompt_id, category, p0, p0_bin, outcome) above the upper quartile, failures and successes in equal number; the median if that leaves none."""
     known = prompts.join(outcomes, "prompt_id")
-    level = lambda q: known.agg(F.greatest(F.lit(0.7), F.least(F.lit(0.95), F.percentile("p0", F.lit(q)))).alias("t"))
-    above = lambda q: known.crossJoin(F.broadcast(level(q))).where("p0 >= t").drop("t")
+    level = lambda q: known.agg(F.greatest(F.lit(0.7), F.least(F.lit(0.95), F.percentile("p0", F.lit(q)))).alias("t")).scalar()
+    above = lambda q: known.where(F.col("p0") >= level(q))
     top = above(0.75)
     if top.isEmpty():
         top = above(0.5)
