@@ -936,3 +936,98 @@ def stream_resume_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         resume_stream(spark, f"{root}/in", schema, f"{root}/out", ["user_id", "event_type", "ts"], "event_id", f"{root}/state", fmt="parquet", files=8)
     return spark.read.parquet(f"{root}/out").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"))
+
+
+# Smaller readings
+
+
+@_query(f"select coalesce({_CAT}, '') category, count(*) n_rows, count(distinct target_word_normalized) n_targets, count(distinct trim(regexp_replace(lower(question_text), '[\\s\\x{{a0}}]+', ' ', 'g'))) n_questions from candidates group by 1")
+def diversity_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, distinct targets and distinct question keys per category."""
+    c = table(spark, sf_dir, "candidates")
+    keys = c.select(F.coalesce(name_key(c["category"]), F.lit("")).alias("category"), "target_word_normalized", text.question_key(F.col("question_text")).alias("q"))
+    return keys.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("target_word_normalized").alias("n_targets"), F.countDistinct("q").alias("n_questions"))
+
+
+@_query(f"with w as (select target_word_normalized w, count(distinct {_CAT}) n from candidates where target_word_normalized is not null group by 1) select count(*) unique_words, sum((n > 1)::int) multi_category_words, max(n) max_categories from w")
+def word_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, words of several categories, and the most categories a word has."""
+    c = table(spark, sf_dir, "candidates").where("target_word_normalized is not null")
+    per_word = c.groupBy("target_word_normalized").agg(F.countDistinct(name_key(c["category"])).alias("n"))
+    return per_word.agg(F.count(F.lit(1)).alias("unique_words"), F.sum((F.col("n") > 1).cast("int")).alias("multi_category_words"), F.max("n").alias("max_categories"))
+
+
+@_query("select doc_id, run_id from documents where run_id = (select max(run_id) from documents)")
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the latest run."""
+    from kilnspark.sources.readers import latest_run_rows
+
+    return latest_run_rows(table(spark, sf_dir, "documents").select("doc_id", "run_id"))
+
+
+@_query("select row_id, case when len(generated_token_ids) < 8 then 'stop' else 'length' end reason, case when len(generated_token_ids) < 8 then 'stop' else 'length' end = finish_reason agrees from completions_greedy where generated_token_ids is not null")
+def finish_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finish reason the token ids show, and whether the run reported the same."""
+    c = table(spark, sf_dir, "completions_greedy").where("generated_token_ids is not null")
+    reason = arrays.finish_reason(F.col("generated_token_ids"), 8)
+    return c.select("row_id", reason.alias("reason"), (reason == F.col("finish_reason")).alias("agrees"))
+
+
+@_query("""with a as (select row_id, generated_token_ids g, list_position(generated_token_ids, generated_token_ids[3]) p from completions_greedy where len(generated_token_ids) >= 3)
+  select row_id, list_sum(g[1:p])::bigint id_sum from a""")
+def trimmed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids up to the first of the third one's kind, summed up."""
+    c = table(spark, sf_dir, "completions_greedy").where(F.size("generated_token_ids") >= 3)
+    at = F.array_position("generated_token_ids", F.get("generated_token_ids", F.lit(2))).cast("int")
+    kept = F.slice("generated_token_ids", F.lit(1), at)
+    return c.select("row_id", F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+@_query(r"""select cand_id, string_split(trim(regexp_replace(question_text, '[\s\x{a0}]+', ' ', 'g')), ' ')[1] first_word, case when length(question_text) > 50 then substr(question_text, 1, 47) || '...' else question_text end short,
+  lower(regexp_replace(question_text, '[^A-Za-z]', '', 'g')) letters, string_split(source_trace, ':')[1] source from candidates where question_text is not null and source_trace is not null""")
+def small_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First word, shortened text and letters of each question, and the source of its trace."""
+    c = table(spark, sf_dir, "candidates").where("question_text is not null and source_trace is not null")
+    q = F.col("question_text")
+    return c.select("cand_id", text.first_token(q).alias("first_word"), text.shorten(q, 50).alias("short"), text.letters_only(q).alias("letters"), F.split("source_trace", ":")[0].alias("source"))
+
+
+_SUBJECT_PATTERNS = (
+    "use (?:a|an|the) ([a-z ]+) to", "(?:a|an|the) ([a-z ]+) is made of", "typical ([a-z ]+) is", "(?:a|an|the) ([a-z ]+) has a", "find (?:a|an|the) ([a-z ]+) in the",
+    "(?:a|an|the) ([a-z ]+) can", "(?:a|an|the) ([a-z ]+) is used by", "(?:a|an|the) ([a-z ]+) requires", "(?:a|an|the) ([a-z ]+) contains", "(?:a|an|the) ([a-z ]+) is worn on",
+)
+_SUBJECT_SQL = "coalesce(" + ", ".join(f"case when regexp_matches(q, '{p}') then trim(regexp_replace(regexp_extract(q, '{p}', 1), ' +', ' ', 'g')) end" for p in _SUBJECT_PATTERNS) + ")"
+
+
+@_query(f"select cand_id, {_SUBJECT_SQL} subject from (select cand_id, lower(question_text) q from candidates where question_text is not null)")
+def subject_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject of each question that has the wording of a relation."""
+    return table(spark, sf_dir, "candidates").where("question_text is not null").select("cand_id", text.subject_of(F.col("question_text")).alias("subject"))
+
+
+@_query(f"""with {_P}, {_bootstrap_sql("select p0_bin, prompt_id id, ln(greatest(p0, 1e-12)) - ln(greatest(p1, 1e-12)) v from p where p0_bin is not null", "p0_bin", 500)}
+  select p0_bin, round(mean, 6) mean, round(mean - ci_low, 6) err_low, round(ci_high - mean, 6) err_high, n from me join ci using (p0_bin)""")
+def log_suppression_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log suppression per bin with the lengths of its error bars."""
+    rows = _p(spark, sf_dir).where("p0_bin is not null").select("p0_bin", "prompt_id", pressure.suppression(F.col("p0"), F.col("p1"))[2].alias("v"))
+    bars = stats.error_bars(stats.bootstrap_ci(rows, ["p0_bin"], "v", "prompt_id", iterations=500))
+    return bars.select("p0_bin", _r(F.col("mean"), "mean"), _r(F.col("err_low"), "err_low"), _r(F.col("err_high"), "err_high"), "n")
+
+
+@_query(f"""with {_SOFT}, x as (select layer, max(layer) over () last, "condition", p_target from pr) select "condition", round(avg(p_target), 6) p_target, count(*) n from x where layer = last group by 1""")
+def final_layer_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target probability at the last layer per condition."""
+    p = _probabilities(spark, sf_dir)
+    last = p.agg(F.max("layer").alias("m")).scalar()
+    return p.where(F.col("layer") == last).groupBy("condition").agg(_r(F.avg("p_target"), "p_target"), F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""with {_TR}, pairs as (select a.vec_id, a.w own, b.w other from tr a join tr b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0)
+  select vec_id, round(list_sum(list_concat(list_concat(own[1:3], [other[11], other[12], other[13]]), own[7:])), 6) total from pairs""")
+def aligned_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after positions 3, 4, 5 were replaced by positions 10, 11, 12 of the paired vector, aligned up to the shorter list."""
+    t = _tr(spark, sf_dir).select("vec_id", "w")
+    both = t.where("vec_id % 2 = 0").join(t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("w").alias("other")), "vec_id")
+    ints = lambda *v: F.array(*[F.lit(x) for x in v])
+    patched = arrays.patched_pairs(F.col("w"), F.col("other"), arrays.aligned(ints(3, 4, 5), ints(10, 11, 12, 13)))
+    return both.select("vec_id", _r(arrays.total(patched), "total"))
