@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,8 @@ _SPEAKER = re.compile(r"^\s*(?:[>|]\s*)?[A-Z][\w .'-]{0,24}:\s")
 _NUMBER = re.compile(r"^[-+]?[$€]?\d[\d.,:%/-]*$")
 _END = re.compile(r"[.!?:…。！？;][\"'”’)\]]*\s*$")
 _SENTENCE = re.compile(r"[.!?。！？][\"'”’)\]]*(?=\s|$)")
-_CELLS = (re.compile(r"\|"), re.compile(r"\t"), re.compile(r"(?<=\s)&(?=\s)"), re.compile(r";"), re.compile(r","), re.compile(r"(?<=\S) {2,}(?=\S)"))
+_CELLS = tuple((m, re.compile(p)) for m, p in (("|", r"\|"), ("\t", r"\t"), ("&", r"(?<=\s)&(?=\s)"), (";", r";"), (",", r","), ("  ", r"(?<=\S) {2,}(?=\S)")))
+_NUMERAL = re.compile(r"\d")
 _TAGGED = re.compile(r"</?t(?:able|[rdh]|head|body)\b", re.I)
 #: Letters that stand side by side when text was decoded wrongly.
 _GARBLED = re.compile(r"[ÃÂâÐÑï][\u0080-¿€™œ“”‘’•–—…šž¢£¥¦§©«¬®°±²³´µ¶·¹º»¼½¾¿Â¤½]")
@@ -42,13 +44,16 @@ _VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôûãõåæøœąę
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}")
 
 
+@lru_cache(maxsize=8192)
 def cells_of(line: str) -> list[str]:
-    """Cells of a line by the notation that gives most; one cell if none does."""
+    """Cells of a line by the notation that gives most; one cell if none does. A line is asked for several times in a row."""
     s = line.strip()
-    if _TAGGED.search(s):
+    if "<" in s and _TAGGED.search(s):
         return [c.strip() for c in re.sub(r"<[^>]*>", "\t", s).split("\t") if c.strip()] or [s]
     best = [s]
-    for sep in _CELLS:
+    for mark, sep in _CELLS:
+        if mark not in s:
+            continue
         parts = [c.strip() for c in sep.split(s)]
         parts = [c for c in parts if c]
         if len(parts) > len(best):
@@ -58,7 +63,7 @@ def cells_of(line: str) -> list[str]:
 
 def _mixed(token: str) -> bool:
     """Letters and digits in one token, as in numbers of base 16."""
-    return len(token) > 2 and token.isalnum() and not token.isalpha() and not token.isdigit()
+    return not token.isalpha() and len(token) > 2 and token.isalnum() and not token.isdigit()
 
 
 def shape_of(line: str, common: frozenset[str]) -> str:
@@ -72,7 +77,7 @@ def shape_of(line: str, common: frozenset[str]) -> str:
     words = _WORD.findall(s.lower())
     letters = sum(map(str.isalpha, s))
     tokens = s.split()
-    if len(tokens) > 3 and sum(map(_mixed, tokens)) > 0.3 * len(tokens):
+    if len(tokens) > 3 and (_NUMERAL.search(s) or not s.isascii()) and sum(map(_mixed, tokens)) > 0.3 * len(tokens):
         return "s"
     if letters < 0.5 * len(s.replace(" ", "")):
         return "t" if re.fullmatch(r"[\s|:+=-]+", s) and "|" in s else "s"
@@ -141,7 +146,7 @@ def statistics(lines: list[str], common: frozenset[str]) -> list[float]:
     digits = sum(c for ch, c in counts.items() if ch.isdigit())
     spaces = sum(c for ch, c in counts.items() if ch.isspace())
     upper = sum(c for ch, c in counts.items() if ch.isupper())
-    vowels = sum(c for ch, c in Counter(ch.lower() for ch in text if ch.isalpha()).items() if ch in _VOWELS)
+    vowels = sum(c for ch, c in counts.items() if ch.isalpha() and ch.lower() in _VOWELS)
     beyond = sum(c for ch, c in counts.items() if ch.isalpha() and ord(ch) > 127)
     cells = [cells_of(ln) for ln in lines]
     sizes = [len(c) for c in cells]
@@ -333,9 +338,12 @@ def document_statistics(text: str, common: frozenset[str]) -> tuple[float, ...]:
     return (len(_WORD.findall(text)), len(full), at("word_length"), at("symbol_share"), at("digit_share"), at("line_end_share"), at("common_share"), at("distinct_share"), at("upper_share"), at("entropy"))
 
 
-def judged(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, lexicon: DataFrame, statistics_too: bool = True) -> DataFrame:
     """(doc_id, statistics, share of each kind, doc_kind) of each document; a text that is null or blank has kind null.
 
+    Without ``statistics_too`` the whole documents' own statistics, which the
+    kinds don't need, are left null.
+
     ``doc_kind`` is prose unless lists, tables and junk have more than half of
     the text together, each run being its likeliest kind; then it is the one of
     them that has most. The shares given are expected values.
@@ -347,7 +355,8 @@ def judged(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
         m: KindModel = model.value
         for d in parts:
             texts = d["text"].fillna("").tolist()
-            stats = pd.DataFrame([document_statistics(t, m.common) for t in texts], columns=STATS, index=d.index)
+            rows = [document_statistics(t, m.common) if statistics_too else (None,) * len(STATS) for t in texts]
+            stats = pd.DataFrame(rows, columns=STATS, index=d.index)
             shares, settled = m.shares(texts)
             kinds = []
             for row in settled:

@@ -221,7 +221,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents most of whose text isn't prose, with their kind."""
-    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
+    kinds = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"), statistics_too=False)
+    return kinds.where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
 
 
 @_query()
