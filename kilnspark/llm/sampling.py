@@ -83,7 +83,8 @@ def calibrate(counts: np.ndarray, shares: np.ndarray, floors: np.ndarray, size:
     Fractions go to the largest remainders, earlier cells first.
     """
     counts, floors = counts.astype(float), np.minimum(floors, counts).astype(float)
-    want, fixed = np.minimum(shares * size, counts), np.zeros(len(counts), bool)
+    # A cell that holds nothing can take no share of the room.
+    want, fixed = np.minimum(shares * size, counts), counts <= 0
     for _ in range(len(counts) + 1):
         room = size - want[fixed].sum()
         free = ~fixed

@@ -74,10 +74,10 @@ def test_newton_meets_the_targets():
     assert np.allclose((n * base * np.exp(lam))[n > 0], want[n > 0])
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(40))
 def test_calibrated_sizes_stay_within_bounds(seed):
     r = np.random.default_rng(seed)
-    n, share = r.integers(0, 60, 8), r.dirichlet(np.ones(8))
+    n, share = r.integers(0, 60, 8) * (r.random(8) > 0.2), r.dirichlet(np.ones(8))
     floors = r.integers(0, 6, 8)
     size = int(r.integers(20, 150))
     got = sampling.calibrate(n, share, floors, size)
@@ -93,3 +93,8 @@ def test_pivot_keeps_the_sum_and_the_probabilities():
         assert abs(d["p"].sum() - 10) < 1e-6
         hits[[int(u) for u in d["unit"][d["p"] > 0.5]]] += 1
     assert abs(hits.mean() / 400 - 0.25) < 0.01 and hits.min() > 50
+
+
+def test_an_empty_cell_leaves_its_share_to_the_others(spark):
+    got = counts(sampling.sample(prompts(spark, [300, 0, 300, 300]), targets(spark, 200)))
+    assert sum(got.values()) == 200 and CELLS[1] not in got
