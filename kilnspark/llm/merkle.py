@@ -140,9 +140,8 @@ def members(df: DataFrame, id_col: str, columns: Mapping[str, str]) -> DataFrame
     """
     rows = keyed(df, id_col, columns)
     several = cut_lineage(classes(rows).where("n_copies > 1"))
-    total = several.agg(F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n"))
-    limit = F.greatest(F.lit(HOT_ROWS).cast("double"), F.col("n") / HOT_PARTS)
-    hot = several.crossJoin(F.broadcast(total)).where(F.col("n_copies") > limit)
+    total = several.agg(F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n")).scalar()
+    hot = several.where(F.col("n_copies") > F.greatest(F.lit(HOT_ROWS).cast("double"), total / HOT_PARTS))
     hot = hot.select(F.col("root").alias("hot_root"), F.ceil(F.col("n_copies") / HOT_ROWS).cast("int").alias("parts")).groupBy("hot_root").agg(F.max("parts").alias("parts"))
     with_hot = lambda d: d.join(F.broadcast(hot), d["root"] == F.col("hot_root"), "left").drop("hot_root")
     left = with_hot(rows).withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnspark.functions.names import name_key
+from kilnspark.session import cut_lineage
 
 #: Ranks of a public byte-level BPE; a parameter, never part of this repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -91,15 +92,15 @@ def source_report(sized: DataFrame, targets: DataFrame) -> DataFrame:
     documents, each once, those without a source included. Sums are made
     before the shuffle, so a source may hold any part of the rows.
     """
-    by = sized.groupBy(name_key(sized["source"]).alias("src")).agg(F.sum("n_tokens").alias("tokens"))
-    total = by.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
+    # Written once, a row per source: the tokens are counted for the total and for each source alike.
+    by = cut_lineage(sized.groupBy(name_key(sized["source"]).alias("src")).agg(F.sum("n_tokens").alias("tokens")))
+    total = by.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens")).scalar()
     asked = targets.select("source", "target_share", "max_repeat", name_key(targets["source"]).alias("src"))
     most = F.col("tokens") * F.greatest(F.coalesce("max_repeat", F.lit(0)), F.lit(0))
     return (
         asked.join(by, "src", "left")
         .withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-        .crossJoin(F.broadcast(total))
-        .withColumn("asked_tokens", F.col("target_share") * F.col("total_tokens"))
+        .withColumn("asked_tokens", F.col("target_share") * total)
         .withColumn("most_tokens", most)
         .withColumn("unmet", F.col("most_tokens") < F.col("asked_tokens"))
         .withColumn("mean_repeat", F.coalesce(F.try_divide(F.least("asked_tokens", F.col("most_tokens").cast("double")), F.col("tokens").cast("double")), F.lit(0.0)))

@@ -44,8 +44,8 @@ def top_n(df: DataFrame, group: Sequence[str], score: str, tie: str, n: int, hea
     pick = lambda d, keys: d.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("rank") <= n)
 
     counts = cut_lineage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    heavy = counts.crossJoin(F.broadcast(total)).where(F.col("_n") > F.greatest(F.lit(float(heavy_rows)), F.col("_total") * HEAVY_SHARE)).select(*group)
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total")).scalar()
+    heavy = counts.where(F.col("_n") > F.greatest(F.lit(float(heavy_rows)), total * HEAVY_SHARE)).select(*group)
     tag = heavy.select(*[F.col(g).alias(f"_h{i}") for i, g in enumerate(group)])
     is_heavy = lambda: [F.col(g).eqNullSafe(F.col(f"_h{i}")) for i, g in enumerate(group)]
 
