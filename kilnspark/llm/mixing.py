@@ -129,7 +129,7 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int
 
 
 def shares(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
-    """The source report with the tokens and share each source has in the mixture."""
+    """The source report with the tokens each source has in the mixture, as a share of it and of the total its target is meant of."""
     got = mix(sized, targets, id_col, seed).groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_docs"))
     share = F.try_divide(F.col("mixed_tokens").cast("double"), F.sum("mixed_tokens").over(Window.partitionBy()))
     return (
@@ -137,6 +137,7 @@ def shares(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: i
         .join(F.broadcast(got), "source", "left")
         .fillna(0, ["mixed_tokens", "mixed_docs"])
         .withColumn("share_reached", F.round(share, 9))
-        .select("source", "target_share", "max_repeat", "tokens", F.round("mean_repeat", 9).alias("mean_repeat"), "unmet", "mixed_docs", "mixed_tokens", "share_reached")
+        .withColumn("share_of_total", F.round(F.try_divide(F.col("mixed_tokens") * F.col("target_share"), F.col("asked_tokens")), 9))
+        .select("source", "target_share", "max_repeat", "tokens", F.round("mean_repeat", 9).alias("mean_repeat"), "unmet", "mixed_docs", "mixed_tokens", "share_reached", "share_of_total")
     )
 
