@@ -1,4 +1,4 @@
-"""A data source over cached service answers: ``spark.read.format("cached_bindings")``.
+"""Data sources over cached service answers: ``cached_bindings`` for batches, ``cached_lines`` for streams.
 
 Live services are out of reach of a cluster job; their answers are kept as
 files of SPARQL result bindings, one file per request, and read in parallel.
@@ -7,12 +7,13 @@ files of SPARQL result bindings, one file per request, and read in parallel.
 from __future__ import annotations
 
 import glob
+import itertools
 import json
 import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 
 class CachedBindings(DataSource):
@@ -54,6 +55,41 @@ class _Reader(DataSourceReader):
                 yield source, b[self.subject]["value"], b[self.object]["value"]
 
 
+class CachedLines(DataSource):
+    """A text iterator as a stream: options ``path`` (a file), ``batch`` lines per step, ``most`` lines in all."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cached_lines"
+
+    def schema(self) -> str:
+        return "line_no long, line string"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _LineReader(self.options)
+
+
+class _LineReader(SimpleDataSourceStreamReader):
+    """Offsets are line numbers, so a batch that is asked for again holds the same lines; reading stops at ``most``."""
+
+    def __init__(self, options):
+        self.path, self.batch, self.most = options["path"], int(options.get("batch", 1000)), int(options.get("most", 1 << 62))
+
+    def initialOffset(self) -> dict:
+        return {"line": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        end = min(start["line"] + self.batch, self.most)
+        rows = list(self.readBetweenOffsets(start, {"line": end}))
+        return iter(rows), {"line": start["line"] + len(rows)}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        with open(self.path) as f:
+            for i, line in enumerate(itertools.islice(f, start["line"], end["line"]), start["line"]):
+                yield i, line.rstrip("\n")
+
+
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session."""
+    """Make both formats known to a session."""
     spark.dataSource.register(CachedBindings)
+    spark.dataSource.register(CachedLines)

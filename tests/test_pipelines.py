@@ -21,6 +21,16 @@ def test_cached_bindings(spark, tmp_path):
     assert spark.read.format("cached_bindings").option("path", str(tmp_path / "none.json")).load().count() == 0
 
 
+def test_cached_lines_stream_stops_early(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("".join(f"line {i}\n" for i in range(50)))
+    cached.register(spark)
+    rows = spark.readStream.format("cached_lines").option("path", str(tmp_path / "t.txt")).option("batch", "7").option("most", "20").load()
+    q = rows.writeStream.format("memory").queryName("cached_lines_test").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["line_no"] for r in spark.table("cached_lines_test").collect()) == list(range(20))
+
+
 def test_table_functions(spark):
     from kilnspark.functions.text import surface_variants
 
