@@ -125,7 +125,8 @@ def _best_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "validated")
     rows = v.select("val_id", "prompt_id", name_key(v["category"]).alias("cat"), "source_trace", "s_score")
     once = topn.one_per_key(rows, "prompt_id", "val_id", ["cat", "source_trace", "s_score"])
-    return topn.top_n(once.where("cat is not null"), ["cat", "source_trace"], "s_score", "val_id", 3)
+    # Written once: counts, ranges and both ways of ranking read these rows.
+    return topn.top_n(cut_lineage(once.where("cat is not null")), ["cat", "source_trace"], "s_score", "val_id", 3)
 
 
 @_query(_TOP_SQL + " select val_id from ranked where r <= 3")
