@@ -1,4 +1,4 @@
-"""Queries of the reference's operators over the project's tables, and their SQL.
+"""Queries of the experiment's operators over the project's tables, and their SQL.
 
 Views: ``p`` holds each prompt once (spellings of a category and bin read as
 one), ``det`` one detection per completion, ``val`` the validated rows. Traces
@@ -47,7 +47,7 @@ _P = f"""p as (select prompt_id, min({_CAT}) category, min({_BIN}) p0_bin, min(p
   from prompts where prompt_id is not null group by prompt_id)"""
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
-_SPACES = "      　"
+_SPACES = "\u00a0\u2002\u2003\u2009\u202f\u3000"
 
 
 def _nfkc_sql(c: str) -> str:
