@@ -134,7 +134,7 @@ def behavior_by_bin_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), _r(F.avg(F.col("word_present").cast("double")), "violation_rate"), _r(F.avg(F.col("format_adherence").cast("double")), "adherence_rate"))
 
 
-@_query(f"""with {_DET} select "condition", count(*) n_rows, sum(word_present::int) n_present, grouping("condition") is_total from det group by rollup ("condition")""")
+@_query(f"""with {_DET} select "condition", count(*) n_rows, sum(word_present::int)::bigint n_present, grouping("condition") is_total from det group by rollup ("condition")""")
 def condition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run counters per condition with their total."""
     return _det(spark, sf_dir).rollup("condition").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("word_present").cast("int")).alias("n_present"), F.grouping("condition").cast("int").alias("is_total"))
@@ -409,7 +409,7 @@ def v_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("val_id", "judge_score", _r(pressure.selection_score(F.col("judge_score"), F.col("p_sem")), "selection_score"))
 
 
-@_query(f"with {_VAL} select coalesce(category, '') category, count(*) n_rows, sum({_ACCEPTED}::int) n_accepted, count(distinct case when {_ACCEPTED} then target_word_normalized end) n_targets from val group by 1")
+@_query(f"with {_VAL} select coalesce(category, '') category, count(*) n_rows, sum({_ACCEPTED}::int)::bigint n_accepted, count(distinct case when {_ACCEPTED} then target_word_normalized end) n_targets from val group by 1")
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted rows and distinct accepted targets per category."""
     v = _val(spark, sf_dir).withColumn("ok", pressure.accepted(F.col("validation"), F.col("target_word")))
@@ -460,7 +460,7 @@ def bin_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.bin_shortfalls(select.top_per_bin(once, 100), 100, once)
 
 
-_TAU = f"t as (select unnest({list(select.TAUS)}::double[]) tau), lad as (select category, tau, bin_id, count(*) n from once, t where p_sem >= tau group by 1, 2, 3), ladder as (select category, tau, sum(least(n, 100)) balanced, sum(least(n, 100)) >= 500 reached from lad group by 1, 2)"
+_TAU = f"t as (select unnest({list(select.TAUS)}::double[]) tau), lad as (select category, tau, bin_id, count(*) n from once, t where p_sem >= tau group by 1, 2, 3), ladder as (select category, tau, sum(least(n, 100))::bigint balanced, sum(least(n, 100)) >= 500 reached from lad group by 1, 2)"
 
 
 @_query(f"with {_VAL}, {_RANKED}, {_ONCE}, {_TAU} select category, round(tau, 6) tau, balanced, reached from ladder")
@@ -949,7 +949,7 @@ def diversity_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("target_word_normalized").alias("n_targets"), F.countDistinct("q").alias("n_questions"))
 
 
-@_query(f"with w as (select target_word_normalized w, count(distinct {_CAT}) n from candidates where target_word_normalized is not null group by 1) select count(*) unique_words, sum((n > 1)::int) multi_category_words, max(n) max_categories from w")
+@_query(f"with w as (select target_word_normalized w, count(distinct {_CAT}) n from candidates where target_word_normalized is not null group by 1) select count(*) unique_words, sum((n > 1)::int)::bigint multi_category_words, max(n) max_categories from w")
 def word_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, words of several categories, and the most categories a word has."""
     c = table(spark, sf_dir, "candidates").where("target_word_normalized is not null")
