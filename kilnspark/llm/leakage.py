@@ -76,13 +76,10 @@ class Passages:
         for n, hits in self.candidates(words).items():
             if len(hits) < LEAST - GRAM + 1 - GRAM * (LEAST // PER_ERROR):
                 continue
-            item = self.items[n][1]
-            covered = -1
+            item, left = self.items[n][1], list(words)
             for group in clusters(hits):
-                for first, last in verify(words, item, group):
-                    if first > covered:
-                        yield n, first, last
-                        covered = last
+                for first, last in verify(left, item, group):
+                    yield n, first, last
 
 
 def clusters(hits: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
@@ -101,7 +98,8 @@ def nearest(pattern: list[int], text: list[int], most: int) -> int:
     """Place in ``text`` of an end of an approximate copy of ``pattern`` with at most ``most`` edits, else -1.
 
     Word-level edit distance against any part of the text, one bit per word of
-    the pattern, all rows of a column at once.
+    the pattern, all rows of a column at once. Of several copies it is one of the
+    first: the search ends where a whole pattern's length brings no better end.
     """
     m = len(pattern)
     peq: dict[int, int] = {}
@@ -110,6 +108,8 @@ def nearest(pattern: list[int], text: list[int], most: int) -> int:
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, at = full, 0, m, most + 1, -1
     for j, w in enumerate(text):
+        if 0 <= at <= j - m:
+            break
         eq = peq.get(w, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -128,39 +128,48 @@ def nearest(pattern: list[int], text: list[int], most: int) -> int:
     return at
 
 
-def verify(words: list[int], item: list[int], group: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of the document, within one cluster, that hold enough of the item.
+def verify(words: list[int], item: list[int], group: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """All spans of the document, within one cluster, that hold enough of the item; each is masked (-1) in ``words``.
 
     A run of L words with one error in eight or fewer always holds such a run
     of 20 to 39 words, and of those one of exactly 20, 24 or 32 words with 2, 3
-    or 4 errors; so these three lengths, at every start, decide.
+    or 4 errors; so these three lengths, at every start, decide. Masking adds
+    no match, so each start and length is searched until it finds nothing more
+    and isn't looked at again. What is left of a passage beside its span stays
+    only if it is too short to be a passage itself.
     """
+    least = LEAST - GRAM + 1 - GRAM * (LEAST // PER_ERROR)
+    # A hit whose words an earlier cluster's span took is none any more.
+    alive = lambda hits: [(j, k) for j, k in hits if -1 not in words[j : j + GRAM]]
+    group = alive(group)
+    if len({j for j, _ in group}) < least:
+        return
     low, high = max(0, group[0][0] - 2 * LEAST), min(len(words), group[-1][0] + GRAM + 2 * LEAST)
-    text = words[low:high]
     starts = sorted({k for _, k in group})
     first, last = max(0, starts[0] - LEAST), starts[-1] + GRAM
     sizes = range(LEAST, 2 * LEAST, 1)
     lengths = sorted({min(n for n in sizes if n // PER_ERROR == e) for e in {n // PER_ERROR for n in sizes}})
-    begin, end = None, None
     near = set(starts)
     # Starts that lie on a hit come first: most copies are decided by one of them.
     for s in sorted(range(first, min(last, len(item) - LEAST + 1)), key=lambda s: (s not in near, s)):
         for n in lengths:
             if s + n > len(item):
                 break
-            at = nearest(item[s : s + n], text, n // PER_ERROR)
-            if at >= 0:
-                begin, end = low + max(0, at - n + n // PER_ERROR + 1), low + at
-                break
-        if begin is not None:
-            break
-    if begin is None:
-        return []
-    # The whole of the span: from its first to its last word in common with the item on the same diagonal.
-    drift = [j - k for j, k in group]
-    mid = sorted(drift)[len(drift) // 2]
-    close = [j for j, k in group if abs(j - k - mid) <= 2 * (len(item) // PER_ERROR)]
-    return [(min(min(close), begin), max(max(close) + GRAM - 1, min(end, len(words) - 1)))]
+            most, at = n // PER_ERROR, low
+            while (found := nearest(item[s : s + n], words[at:high], most)) >= 0:
+                end = at + found
+                begin = max(at, end - n + most + 1)
+                # The whole of the span: from its first to its last word in common with the item on the same diagonal.
+                diagonal = end - (s + n - 1)
+                close = [j for j, k in group if abs(j - k - diagonal) <= 2 * (len(item) // PER_ERROR)]
+                span = min([*close, begin]), max([j + GRAM - 1 for j in close] + [end])
+                yield span
+                words[span[0] : span[1] + 1] = [-1] * (span[1] + 1 - span[0])
+                group = alive(group)
+                if len({j for j, _ in group}) < least:
+                    return
+                # A better copy may have been taken before one just ahead of it, at most once per error.
+                at = max(at, begin - (most + 2) * n)
 
 
 def _blocks(items: DataFrame, id_col: str, text: str) -> list[list[tuple[int, str]]]:

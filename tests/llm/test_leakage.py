@@ -8,6 +8,7 @@ ITEMS = [
     (1, "When the quiet compass of Oldford fell silent, an innkeeper climbed past sixteen tiles to stack whatever the strange wind had spared, and by market-day nobody in the valley could say who had rung the bell at night."),
     (2, "Through forty lonely winters the pilots fed Newbridge with copper, a broken crane and songs about a sour carpet, until the last of them sold his boat and walked along the river to the sea."),
 ]
+LONG = (9, ITEMS[0][1] + " " + ITEMS[1][1] + " He never came back to Newbridge and nobody at the inn asked the pilots why.")
 D, I = "doc_id long, text string, items string, spans string", "item_id long, text string"
 FILL = "The run was started late and most of the time went into loading the model. "
 
@@ -104,3 +105,28 @@ def test_removal(spark):
     got = leakage.cleaned(d, spark.createDataFrame(ITEMS, I)).collect()
     assert [(r["doc_id"], r["items"]) for r in got] == [(1, [1])]
     assert got[0]["text"].startswith("Before. ") and got[0]["text"].endswith(" After.") and len(got[0]["text"]) < 30
+
+
+def cleaned_text(spark, text, items=ITEMS):
+    d = spark.createDataFrame([(1, text, "q", "q")], D)
+    return leakage.cleaned(d, spark.createDataFrame(items, I)).collect()[0]["text"]
+
+
+def test_removal_of_swapped_halves(spark):
+    w = LONG[1].split()
+    got = cleaned_text(spark, "Before. " + " ".join(w[45:]) + " " + " ".join(w[:45]) + " After.", [LONG])
+    assert got.startswith("Before. ") and got.endswith(" After.") and len(got) < 30
+
+
+@pytest.mark.parametrize("between", ["\n", "\n\n" + FILL, " so it goes: "])
+@pytest.mark.parametrize("copies", [2, 3, 7])
+def test_removal_of_repeated_passages(spark, copies, between):
+    got = cleaned_text(spark, "Before. " + between.join([ITEMS[0][1]] * copies) + " After.")
+    assert got.startswith("Before. ") and got.endswith(" After.") and not set(got.lower().split()) & {"innkeeper", "oldford", "tiles", "valley"}
+
+
+def test_removal_of_an_edited_copy_beside_a_whole_one(spark):
+    w = words(40)
+    w[12], w[20] = "lantern", "lantern"
+    got = cleaned_text(spark, "Before. " + " ".join(w) + " " + " ".join(words(40)) + " After.")
+    assert got.startswith("Before. ") and got.endswith(" After.") and len(got) < 30
