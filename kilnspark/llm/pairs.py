@@ -205,7 +205,7 @@ def defects(answers: DataFrame, cut_threshold: float = 0.5) -> DataFrame:
     A null text is empty. An empty answer has no other defect; a copy is no
     refusal and no other language. Answers without a known prompt can't be copies.
     """
-    sample = [r[0] for r in truncation.sample_of(answers.where(F.col("text").isNotNull() & (F.length("text") <= truncation.MODEL_CHARS)), "id", REFIT_TEXTS).select("text").collect()]
+    sample = [r[0] for r in truncation.sample_of(answers.where(F.col("text").isNotNull() & (F.length("text") <= 4_000)), "id", REFIT_TEXTS).select("text").collect()]
     model = answers.sparkSession.sparkContext.broadcast(fit_languages([consistent(t) for t in sample]))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -116,3 +116,37 @@ def test_hashes_of_an_end_equal_those_of_all_places():
     for text in ("a", "héllo wörld, this is a longer text", "x" * 50, "日本"):
         codes = np.frombuffer(("\x02" * 22 + text).encode("utf-32-le"), np.uint32).astype(np.uint64)
         assert {n: int(t._letters_hash(codes, n)[-1]) for n in t._ORDERS} == t._end_hashes(text)
+
+
+def test_words_of_all_texts_count(spark):
+    full = [f"marz{chr(97 + i // 5)}{chr(97 + i % 5)}pan" for i in range(30)]
+    rows = [(i, "plain", f"Only the {w} fits, and one {w} is enough for it.", "x") for i, w in enumerate(full)]
+    rows += [(100 + i, "plain", f"Nothing fits as well as the {w[:-2]}", "x") for i, w in enumerate(full)]
+    fill = spark.range(1000, 50_000).selectExpr("id", "'plain' src", "concat('Row ', id, ' is done.') text", "'x' asked")
+    got = t.scored(spark.createDataFrame(rows, SCHEMA).union(fill)).where("kind = 'open'").collect()
+    assert len(got) == 30 and all(r["inside"] for r in got)
+
+
+def test_words_of_a_long_text_count(spark):
+    long = "Both the anchor and the ladder point in the same direction. " * 200 + "Only the marzipan fits, and marzipan is enough. " + "The garden is wide. " * 200
+    got = t.scored(spark.createDataFrame([(1, "a", long, "x"), (2, "a", "Nothing fits as well as the marzi", "x")], SCHEMA)).collect()
+    assert {r["id"]: r["inside"] for r in got} == {"1": False, "2": True}
+
+
+def test_counts_in_pieces_are_the_same(monkeypatch):
+    rows, _ = made(200)
+    texts = [(kind, core) for kind, core, _ in (t.ending_of(r[2], "") for r in rows) if core]
+    texts.append(("open", "Both the anchor and the ladder point in the same direction. " * 30))
+
+    def counts():
+        out = {}
+        for h, total, end in t.context_counts(texts, np.full(1024, 2**64 - 1, np.uint64)):
+            for k, n, e in zip(h.tolist(), total.tolist(), end.tolist(), strict=True):
+                a, b = out.get(k, (0, 0))
+                out[k] = a + n, b + e
+        return out
+
+    whole = counts()
+    assert set(np.array(t.context_keys("It should be ancho"), np.int64).view(np.uint64).tolist()) & set(whole)
+    monkeypatch.setattr(t, "COUNT_CHARS", 100)
+    assert counts() == whole
