@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,8 +38,8 @@ SENTENCES = {
 ORDERS = (1, 2, 3, 4)
 #: Log odds against English from which an answer's language counts as another, in Latin and in other scripts.
 FOREIGN_ODDS, OTHER_SCRIPT_ODDS = 15.0, 6.0
-#: About this many answers are read again for the second fit.
-REFIT_TEXTS = 5_000
+#: The second fit counts all answers it is sure of; a language's counts weigh as much as those of so many characters at most, for balance.
+FIT_CHARS = 60_000
 
 #: Words whose likelihoods a worker keeps.
 WORDS_KEPT = 200_000
@@ -79,11 +79,9 @@ _ANSWERS = re.compile(r"\b(?:so|but|instead)\b,? (?:i would (?:say|choose|pick|g
 class LanguageModel:
     """Naive Bayes over letter n-grams; one log probability table per language."""
 
-    def __init__(self, texts: dict[str, str]):
-        self.langs, self.words = sorted(texts), {}
-        counts = {k: Counter() for k in self.langs}
-        for k, text in texts.items():
-            counts[k].update(self.grams(text))
+    def __init__(self, counts: dict[str, dict[str, float]]):
+        """``counts``: n-grams of each language."""
+        self.langs, self.words = sorted(counts), {}
         kinds = {o: len({g for c in counts.values() for g in c if len(g) == o}) + 1 for o in ORDERS}
         totals = {k: Counter() for k in self.langs}
         for k, c in counts.items():
@@ -128,21 +126,74 @@ class LanguageModel:
         return {k: v - top for k, v in score.items()}
 
 
-def fit_languages(texts: list[str]) -> LanguageModel:
-    """The model of the sentences, fitted again with those of ``texts`` whose language it is sure of."""
-    first = LanguageModel(SENTENCES)
-    more = dict(SENTENCES)
-    extra = defaultdict(list)
-    for t in dict.fromkeys(texts):
+def first_model() -> LanguageModel:
+    """The model of the sentences."""
+    return LanguageModel({k: Counter(LanguageModel.grams(v)) for k, v in SENTENCES.items()})
+
+
+def sure_words(model: LanguageModel, texts: Iterable[str]) -> Counter[tuple[str, str]]:
+    """How often each (language, word) occurs in those texts of five or more words whose language the model is sure of."""
+    out = Counter()
+    for t in texts:
         if len(t.split()) < 5:
             continue
-        post = first.posterior(t)
+        post = model.posterior(t)
         ranked = sorted(post, key=post.get, reverse=True)
         if post[ranked[1]] < -8:
-            extra[ranked[0]].append(t)
-    for k, v in extra.items():
-        more[k] = " ".join([SENTENCES[k], *v])[:60_000]
-    return LanguageModel(more)
+            out.update((ranked[0], w) for w in re.findall(r"[^\W\d_]+", t.lower()))
+    return out
+
+
+def word_grams(words: Iterable[tuple[str, str, int]]) -> Counter[tuple[str, str]]:
+    """How often each (language, n-gram) occurs, from (language, word, n)."""
+    out = Counter()
+    for k, word, n in words:
+        for g in LanguageModel.grams(word):
+            out[k, g] += n
+    return out
+
+
+def refitted(grams: Iterable[tuple[str, str, int]]) -> LanguageModel:
+    """The model of the sentences and of (language, n-gram, n), whole counts weighted down to FIT_CHARS; their order doesn't matter."""
+    extra: dict[str, dict[str, int]] = defaultdict(dict)
+    for k, g, n in grams:
+        extra[k][g] = n
+    counts = {k: Counter(LanguageModel.grams(v)) for k, v in SENTENCES.items()}
+    for k, found in extra.items():
+        # A word gives one gram of one letter per letter, and a blank follows it.
+        chars = sum(n for g, n in found.items() if len(g) == 1) + sum(n for g, n in found.items() if len(g) == 2 and g[0] == " ")
+        weight = min(1.0, (FIT_CHARS - len(SENTENCES[k])) / max(chars, 1))
+        for g, n in sorted(found.items()):
+            counts[k][g] += n * weight
+    return LanguageModel(counts)
+
+
+def fit_languages(texts: Iterable[str]) -> LanguageModel:
+    """The model of the sentences, fitted again with those of ``texts`` whose language it is sure of; the same text counts once."""
+    words = sure_words(first_model(), dict.fromkeys(texts))
+    return refitted((k, g, n) for (k, g), n in word_grams((k, w, n) for (k, w), n in words.items()).items())
+
+
+def fit_answers(answers: DataFrame) -> LanguageModel:
+    """:func:`fit_languages` over all texts of ``answers``; what comes to the driver are n-grams of up to four letters."""
+
+    def forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            yield pd.DataFrame({"form": [consistent(t) for t in d["text"]]})
+
+    def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = first_model()
+        for d in parts:
+            yield pd.DataFrame([(*k, n) for k, n in sure_words(first, d["form"]).items()], columns=["lang", "word", "n"])
+
+    def grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            yield pd.DataFrame([(*k, n) for k, n in word_grams(zip(d["lang"], d["word"], d["n"], strict=True)).items()], columns=["lang", "gram", "n"])
+
+    texts = answers.where(F.col("text").isNotNull()).select("text").distinct().mapInPandas(forms, "form string").distinct()
+    known = texts.mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    held = known.mapInPandas(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    return refitted(zip(held["lang"], held["gram"], held["n"].tolist(), strict=True))
 
 
 def is_empty(text: str | None) -> bool:
@@ -205,8 +256,7 @@ def defects(answers: DataFrame, cut_threshold: float = 0.5) -> DataFrame:
     A null text is empty. An empty answer has no other defect; a copy is no
     refusal and no other language. Answers without a known prompt can't be copies.
     """
-    sample = [r[0] for r in truncation.sample_of(answers.where(F.col("text").isNotNull() & (F.length("text") <= 4_000)), "id", REFIT_TEXTS).select("text").collect()]
-    model = answers.sparkSession.sparkContext.broadcast(fit_languages([consistent(t) for t in sample]))
+    model = answers.sparkSession.sparkContext.broadcast(fit_answers(answers))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value

@@ -81,3 +81,16 @@ def test_all_defects_of_a_table(spark):
     got = pairs.defects(spark.createDataFrame(rows, schema)).collect()
     assert sorted(((r["id"], r["defect_type"]) for r in got), key=repr) == sorted([(1, "empty"), (2, "refusal"), (2, "refusal"), (3, "copy"), (4, "other_language"), (None, "empty")], key=repr)
     assert pairs.defects(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_second_fit_counts_all_answers_in_any_order(spark):
+    texts = [f"The answer is the {a} that fits the {b} best, and nobody knows why number {i} left." for i in range(900) for a, b in [("anchor", "candle")]]
+    last = "The answer is the quizzaciously word that fits the sentence best."
+    texts += [last.replace("word", f"word of {w}") for w in ("people", "water", "bread")]
+    assert len(" ".join(texts)) > pairs.FIT_CHARS
+    a, b = pairs.fit_languages(texts), pairs.fit_languages(texts[::-1])
+    assert "quiz" in a.table and a.table == b.table and a.base == b.base
+    rows = spark.createDataFrame([(t,) for t in texts + texts[:5]] + [(None,)], "text string")
+    for parts in (1, 7):
+        c = pairs.fit_answers(rows.repartition(parts))
+        assert c.table == a.table and c.base == a.base
