@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -232,11 +234,25 @@ def is_copy(text: str, question: str | None, asked: str | None) -> bool:
     return same >= 0.85 * len(mine)
 
 
+@lru_cache(maxsize=100_000)
+def _script(ch: str) -> str:
+    """First word of a letter's Unicode name, which names its script."""
+    return unicodedata.name(ch, "").split(" ")[0]
+
+
+def in_other_script(form: str) -> bool:
+    """Most letters are of a script that English isn't written in; a lone Greek letter is a symbol."""
+    letters = [_script(ch) for ch in form if ch.isalpha()]
+    other = [x for x in letters if x not in ("LATIN", "MODIFIER")]
+    return 2 * len(other) > len(letters) and letters != ["GREEK"]
+
+
 def is_foreign(model: LanguageModel, form: str, question: str | None) -> bool:
     """The answer as a whole is in another language than English while the prompt is in English or unknown."""
-    words = _WORDS.findall(form)
-    if not words:
+    if not _WORDS.search(form):
         return False
+    if in_other_script(form):
+        return True
     post = model.posterior(form)
     best = max(post, key=post.get)
     latin = any("a" <= ch <= "z" for ch in form.lower())
@@ -245,9 +261,7 @@ def is_foreign(model: LanguageModel, form: str, question: str | None) -> bool:
         return False
     # Answers are to be English even where the prompt isn't; then the model must be surer, as names may be all it sees.
     asked = model.posterior(question) if question else {}
-    if asked.get(best, -99.0) == 0.0 and odds < 2 * FOREIGN_ODDS:
-        return False
-    return len(words) >= 3 or not latin
+    return asked.get(best, -99.0) < 0.0 or odds >= 2 * FOREIGN_ODDS
 
 
 def defects(answers: DataFrame, cut_threshold: float = 0.5) -> DataFrame:

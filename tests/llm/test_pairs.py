@@ -94,3 +94,13 @@ def test_second_fit_counts_all_answers_in_any_order(spark):
     for parts in (1, 7):
         c = pairs.fit_answers(rows.repartition(parts))
         assert c.table == a.table and c.base == a.base
+
+
+@pytest.mark.parametrize("text", ["빵", "정답은 빵입니다.", "الخبز", "לחם", "रोटी", "ขนมปัง", "面包", "正确的词是面包。", "ψωμί", "odpowiedzią jest", "Najprawdopodobniej odpowiedź", "powiedziałbym"])
+def test_foreign_in_any_script_and_length(model, text):
+    assert pairs.is_foreign(model, consistent(text), Q)
+
+
+@pytest.mark.parametrize("text", ["π", "bread (빵)", "The word is хлеб in Russian, and bread in English.", "Hammer", "résumé", "piñata", "7"])
+def test_english_with_other_letters(model, text):
+    assert not pairs.is_foreign(model, consistent(text), Q)
