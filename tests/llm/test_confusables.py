@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kilnspark.llm import confusables
 from kilnspark.llm.confusables import consistent, resolved, seen_but_not_stored
 
 
@@ -66,3 +67,17 @@ def test_found_rows(spark):
     got = seen_but_not_stored(spark.createDataFrame([(*r, "q") for r in rows], schema), "completion_text", "target_word")
     assert sorted(r["row_id"] for r in got.collect()) == [1, 3, 4, 10, 11]
     assert seen_but_not_stored(spark.createDataFrame([], schema), "completion_text", "target_word").collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("ɡoat", "goat"), ("ɑpple", "apple"), ("ցate", "gate"), ("Ꮋouse", "House"), ("lıne", "line"), ("bᴏttle", "bottle"), ("the ᎻᎪ tower", "the HA tower"), ("кettle", "kettle"), ("It is λόγος", "It is λόγος"), ("Իսկ հաց", "Իսկ հաց"), ("Ответ: вот", "Ответ: вот"), ("ӏamp", "lamp")],
+)
+def test_unicode_data(spark, text, want):
+    confusables.shared(spark)
+    assert consistent(text) == want
+
+
+def test_workers_have_unicode_data(spark):
+    rows = spark.createDataFrame([("ɡoat",), ("ᎻᎪT is it",), (None,)], "t string")
+    assert [r[0] for r in rows.select(confusables.consistent_form(rows["t"])).collect()] == ["goat", "HAT is it", None]
