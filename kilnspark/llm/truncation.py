@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.functions.names import name_key
+from kilnspark.llm import confusables
 from kilnspark.llm.confusables import consistent
 from kilnspark.operators.joins import lookup_join
 from kilnspark.session import cut_lineage
@@ -39,8 +40,11 @@ WEIGHT = 4.0
 FRAGMENT = 200
 #: Least share of texts stopping inside a word at a length that counts as a limit.
 INSIDE = 0.1
-#: Log-normal lengths taken where there are under twenty texts to fit: of cut ones (0), and of whole ones without a mark (2).
-FEW = {0: (np.ones(1), np.array([4.6]), np.array([0.5])), 2: (np.array([0.7, 0.3]), np.array([2.2, 4.8]), np.array([0.5, 0.5]))}
+#: Log-normal lengths of cut texts (0) and of whole ones without a mark (2) before any is seen; they weigh as much as so many texts in every fit.
+PRIOR_TEXTS = 20.0
+PRIOR = {0: (np.ones(1), np.array([4.6]), np.array([0.5])), 2: (np.array([0.7, 0.3]), np.array([2.2, 4.8]), np.array([0.5, 0.5]))}
+#: Lengths from here on share a value with those up to a ninetieth longer.
+FINE, PER_OCTAVE = 1024, 64
 #: Fits are broadcast up to this many sources, joined beyond.
 FEW_SOURCES = 10_000
 #: Characters at a text's end in which residue is looked for at once.
@@ -60,24 +64,23 @@ _BARE = re.compile(r"[\W_]+")
 
 def core_of(text: str) -> str:
     """A text's consistent form without residue at its end."""
-    return measured(text)[0]
+    return measured(consistent(text))[0]
 
 
-def measured(text: str) -> tuple[str, int]:
-    """(core, length at the cut): blanks before the residue belong to the length, as a limit counts them too."""
-    out = consistent(text)
-    end = length = len(out)
+def measured(form: str) -> tuple[str, int]:
+    """(core, length at the cut) of a consistent form: blanks before the residue belong to the length, as a limit counts them too."""
+    end = length = len(form)
     while end:
         # Residue is short, so only the last characters are looked at, however long the text.
         begin = max(0, end - TAIL)
-        tail = out[begin:end]
+        tail = form[begin:end]
         found = RESIDUE.search(tail)
         if not found or (_MARKED.search(_CLOSERS.sub("", tail)) and not tail.endswith("...")):
             break
         end = begin + found.start()
         if found[0].strip():
             length = end
-    return out[:end], length
+    return form[:end], length
 
 
 def bare(text: str | None) -> str:
@@ -85,21 +88,29 @@ def bare(text: str | None) -> str:
     return _BARE.sub("", consistent(text).lower()) if text else ""
 
 
+@lru_cache(maxsize=4096)
+def prompt_of(asked: str) -> tuple[str, frozenset[str]]:
+    """(bare letters, words) of a prompt; its answers follow one another."""
+    low = consistent(asked).lower()
+    return _BARE.sub("", low), frozenset(_WORD.findall(low))
+
+
 def ending_of(text: str | None, prompt: str) -> tuple[str, str, int]:
     """(kind, core, length at the cut): ``empty``, ``echo`` of the prompt (bare letters), ``marked`` with a final mark, ``open``, ``broken`` off with residue behind it, or ``pause``.
 
     An ellipsis may stand for a pause or for a cut, so a text that ends with one is as undecided as an open one.
     """
-    letters = bare(text)
+    form = consistent(text) if text else ""
+    letters = _BARE.sub("", form.lower())
     if not letters:
         return "empty", "", 0
-    core, length = measured(text)
+    core, length = measured(form)
     if "__" in text or (len(letters) > 12 and letters in prompt):
         return "echo", core, length
-    shown = consistent(text).rstrip()
+    shown = form.rstrip()
     if shown.endswith("...") and not shown.endswith("...."):
         return "pause", core, length
-    if _MARKED.search(_CLOSERS.sub("", core)):
+    if _MARKED.search(_CLOSERS.sub("", core[-TAIL:])):
         return "marked", core, length
     return ("broken" if _BROKEN.search(shown[len(core) :]) else "open"), core, length
 
@@ -137,21 +148,21 @@ def _end_hashes(low: str) -> dict[int, int]:
     return out
 
 
-def _slot_hashes(word: str, before: tuple[str, str, str]) -> list[int]:
-    """Hashes of a word, and of the one, two and three words before it."""
-    return [xxhash.xxh64_intdigest(word, 0), *(xxhash.xxh64_intdigest(" ".join(before[: n + 1]), n + 1) for n in range(3))]
+# A word in its slot is known by the hashes of the words before it, each times the odd number of its place.
+_PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_SLOT = 0xD6E8FEB86659FD93
+_START = xxhash.xxh64_intdigest("^", 0)
 
 
-def _slots(tokens: list[str]) -> Iterator[tuple[str, bool, bool, tuple[str, str, str]]]:
-    """(word, whether it is the last token, whether a sentence ends there, the three words before it up to the start of its sentence)."""
-    before, n = ("^", "^", "^"), len(tokens) - 1
-    for i, t in enumerate(tokens):
-        if t[0] in _MARKS:
-            before = ("^", "^", "^")
-            continue
-        if t not in ",;:":
-            yield t, i == n, i == n or tokens[i + 1][0] in _MARKS, before
-        before = (t, before[0], before[1])
+def _slot_hashes(word: str, before: tuple[str, ...]) -> list[int]:
+    """Hashes of a word, and of the one, two and three words before it; where its sentence begins a mark stands for a word."""
+    known = [xxhash.xxh64_intdigest(w, 0) for w in before[:3]]
+    known += [_START] * (3 - len(known))
+    out, h = [xxhash.xxh64_intdigest(word, 0) * _SLOT & _MASK], 0
+    for n in range(3):
+        h = (h + known[n] * _PLACES[n]) & _MASK
+        out.append(h * _SLOT & _MASK ^ (n + 1))
+    return out
 
 
 # A context is known by its hash; these are the letters and ends of all texts, and the seeds of a whole word and of what longer words begin with.
@@ -169,7 +180,7 @@ def context_keys(core: str) -> list[int]:
         if t[0] in _MARKS:
             break
         before += (t,)
-    letters, slots = _end_hashes(low), _slot_hashes(tokens[-1], (*before, "^", "^", "^")[:3])
+    letters, slots = _end_hashes(low), _slot_hashes(tokens[-1], before)
     keys = [letters[n] if kind == "c" else slots[n] for kind, n in CHAIN]
     keys += [xxhash.xxh64_intdigest(tokens[-1], seed) for seed in (_OWN, _LONGER)]
     return [k - (1 << 64) if k >> 63 else k for k in keys]
@@ -181,82 +192,112 @@ def passes(wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (wanted[(at >> np.uint64(6)) & np.uint64(len(wanted) - 1)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+_MARK_RUN = re.compile(r"[.!?。！？]+(?=[\s\"')\]\x02]|$)")
+_BATCH_TOKEN = re.compile(r"[^\W_]+(?:['-][^\W_]+)*|[.!?。！？]+(?=[\s\"')\]\x02]|$)|[,;:]|\x02+")
+_GAP = "\x02" * _ORDERS[-1]
+
+
+def _summed(h: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, total, sum of ``end``) of equal hashes."""
+    known, at = np.unique(h, return_inverse=True)
+    return known, np.bincount(at, minlength=len(known)), np.bincount(at, weights=end, minlength=len(known))
+
+
 def context_counts(texts: Iterable[tuple[str, str]], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, total, end) of the contexts in (kind, core) that ``wanted`` lets pass: how often each occurs, and how often a text or sentence ends there.
 
     The same context may come out several times. Words count with ``end`` as
-    their total, so that one that occurs once is kept.
+    their total, so that one that occurs once is kept. Texts are put together
+    up to COUNT_CHARS and read as one.
     """
-    codes, ends, size = [], [], 0
-    slots, over, complete = Counter(), Counter(), Counter()
-
-    def told() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if codes:
-            flat, live = np.concatenate(codes).astype(np.uint64), np.concatenate([np.arange(len(c)) >= _ORDERS[-1] for c in codes])
-            live &= flat != 2
-            end = np.concatenate(ends)
-            yield np.array([_BASE], np.uint64), np.array([live.sum()]), np.array([end[live].sum()])
-            for _, h in _letters_hashes(flat):
-                keep = live & passes(wanted, h)
-                known, at = np.unique(h[keep], return_inverse=True)
-                yield known, np.bincount(at, minlength=len(known)), np.bincount(at, weights=end[keep], minlength=len(known))
-        found: dict[int, list[int]] = {}
-        for (word, before), n in slots.items():
-            for h in _slot_hashes(word, before):
-                f = found.setdefault(h, [0, 0])
-                f[0] += n
-                f[1] += over[word, before]
-        for word, n in complete.items():
-            digest, keys = xxhash.xxh64(seed=_LONGER), [xxhash.xxh64_intdigest(word, _OWN)]
-            for ch in word[:-1]:
-                digest.update(ch)
-                keys.append(digest.intdigest())
-            for h in keys:
-                f = found.setdefault(h, [0, 0])
-                f[0] += n
-                f[1] += n
-        h = np.fromiter(found, np.uint64, len(found))
-        n = np.array(list(found.values()), np.int64).reshape(-1, 2)
-        keep = passes(wanted, h)
-        yield h[keep], n[keep, 0], n[keep, 1]
-        for held in (codes, ends, slots, over, complete):
-            held.clear()
-
+    held: list[tuple[str, str]] = []
+    size = 0
     for kind, core in texts:
-        low = core.lower()
-        if not low:
-            continue
-        c = np.frombuffer(("\x02" * _ORDERS[-1] + low).encode("utf-32-le"), np.uint32)
-        e = np.zeros(len(c), np.int8)
-        for m in re.finditer(r"[.!?。！？]+(?=[\s\"')\]]|$)", low):
-            if m.start():
-                e[_ORDERS[-1] + m.start() - 1] = 1
-        if kind in OPEN and kind != "broken":
-            e[-1] = 1
-        for word, last, ended, before in _slots(_TOKEN.findall(low)):
-            if not last:
-                complete[word] += 1
-            elif kind == "broken":
-                continue
-            slots[word, before] += 1
-            over[word, before] += ended
-        # A long text goes in pieces, each with the letters before it.
-        for begin in range(_ORDERS[-1], len(c), COUNT_CHARS):
-            piece = slice(begin - _ORDERS[-1], begin + COUNT_CHARS)
-            codes.append(c[piece])
-            ends.append(e[piece])
-            size += len(codes[-1])
+        if core:
+            held.append((kind, core.lower().replace("\x02", " ")))
+            size += len(core)
             if size >= COUNT_CHARS:
-                yield from told()
-                size = 0
-    yield from told()
+                yield from _counts_of(held, wanted)
+                held, size = [], 0
+    if held:
+        yield from _counts_of(held, wanted)
+
+
+def _counts_of(held: list[tuple[str, str]], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    every = _GAP + _GAP.join(low for _, low in held)
+    codes = np.frombuffer(every.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.zeros(len(codes), np.int8)
+    starts = np.array([m.start() for m in _MARK_RUN.finditer(every)], np.int64)
+    ends[starts[codes[starts - 1] != 2] - 1] = 1
+    finals = np.cumsum([len(low) + len(_GAP) for _, low in held]) - 1
+    # A text that broke off, or that a mark ends, tells nothing by its last letter.
+    ends[finals[[kind in OPEN and kind != "broken" for kind, _ in held]]] = 1
+    # Long ones go in pieces, each with the letters before it.
+    for begin in range(len(_GAP), len(codes), COUNT_CHARS):
+        piece = slice(begin - len(_GAP), begin + COUNT_CHARS)
+        flat, end = codes[piece].astype(np.uint64), ends[piece]
+        live = flat != 2
+        live[: len(_GAP)] = False
+        yield np.array([_BASE], np.uint64), np.array([live.sum()]), np.array([end[live].sum()])
+        for _, h in _letters_hashes(flat):
+            keep = live & passes(wanted, h)
+            yield _summed(h[keep], end[keep])
+    yield from _slot_counts(_BATCH_TOKEN.findall(every), np.array([kind == "broken" for kind, _ in held]), wanted)
+
+
+def _slot_counts(tokens: list[str], broken: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The contexts of the words of texts that gaps begin."""
+    numbers: dict[str, int] = {}
+    at = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, len(tokens))
+    names = list(numbers)
+    sort = np.array([3 if t[0] == "\x02" else 2 if t[0] in _MARKS else 1 if t in ",;:" else 0 for t in names], np.int8)[at]
+    h = np.array([xxhash.xxh64_intdigest(t, 0) for t in names], np.uint64)[at]
+    follows = np.append(sort[1:], 3)
+    last, word = follows == 3, sort == 0
+    # What breaks off is no word, and no end.
+    slot = word & ~(last & broken[np.cumsum(sort == 3) - 1])
+    over = (last | (follows == 2))[slot]
+    # The words before each, up to the start of its sentence.
+    stop, before = sort >= 2, np.zeros(len(h), np.uint64)
+    keys, halted = [h * np.uint64(_SLOT)], np.zeros(len(h), bool)
+    for n in range(3):
+        gone = np.append(np.ones(n + 1, bool), stop[: -(n + 1)])[: len(h)]
+        halted |= gone
+        shifted = np.append(np.zeros(n + 1, np.uint64), h[: -(n + 1)])[: len(h)]
+        before = before + np.where(halted, np.uint64(_START), shifted) * np.uint64(_PLACES[n])
+        keys.append(before * np.uint64(_SLOT) ^ np.uint64(n + 1))
+    for k in keys:
+        k = k[slot]
+        keep = passes(wanted, k)
+        yield _summed(k[keep], over[keep])
+    complete = np.bincount(at[word & ~last], minlength=len(names))
+    found: dict[int, int] = {}
+    for i in np.flatnonzero(complete):
+        w, n = names[i], int(complete[i])
+        digest, k = xxhash.xxh64(seed=_LONGER), xxhash.xxh64_intdigest(w, _OWN)
+        found[k] = found.get(k, 0) + n
+        for ch in w[:-1]:
+            digest.update(ch)
+            k = digest.intdigest()
+            found[k] = found.get(k, 0) + n
+    k, n = np.fromiter(found, np.uint64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+    keep = passes(wanted, k)
+    yield k[keep], n[keep], n[keep]
+
+
+def nearness(core: str, words: frozenset[str]) -> int:
+    """2 if the last word of ``core`` is one of the prompt's, 1 if one of those begins with it, else 0."""
+    tokens = _TOKEN.findall(core[-200:].lower())
+    if not tokens:
+        return 0
+    return 2 if tokens[-1] in words else int(any(w.startswith(tokens[-1]) for w in words))
 
 
-def whole(core: str, seen: dict[int, tuple[int, int]], base: float, near: frozenset[str] = frozenset(), broken: bool = False) -> tuple[float, bool]:
+def whole(core: str, seen: dict[int, tuple[int, int]], base: float, near: int = 0, broken: bool = False) -> tuple[float, bool]:
     """P(the text is whole | it stops after ``core``), and whether it stops inside a word.
 
     ``seen``: (total, end) of those of its :func:`context_keys` that are known,
-    by their place there; ``near`` are words of its prompt, ``broken`` says that
+    by their place there; ``near`` is that of :func:`nearness`, ``broken`` says that
     residue follows. One end in each context is taken off, as the text itself
     is among those counted.
     """
@@ -276,9 +317,9 @@ def whole(core: str, seen: dict[int, tuple[int, int]], base: float, near: frozen
                 e, t = e - 1, t - 1
             p = (e + WEIGHT * p) / (t + WEIGHT)
     last, inside = tokens[-1], False
-    if last not in near and low[-1:].isalnum() and last.replace("-", "").isalpha():
+    if near != 2 and low[-1:].isalnum() and last.replace("-", "").isalpha():
         own, longer = (seen.get(len(CHAIN) + i, (0, 0))[0] for i in (0, 1))
-        if own == 0 and (longer > 1 or any(w.startswith(last) for w in near)) or longer > FRAGMENT * own > 0:
+        if own == 0 and (longer > 1 or near == 1) or longer > FRAGMENT * own > 0:
             p, inside = p * 0.02, True
     if broken:
         p *= BROKEN_SHARE
@@ -364,17 +405,32 @@ def fit_source(hist: pd.DataFrame) -> dict:
     return {"limits": keys, "posterior": posterior, "cut": [count(1, 0), count(2, 0)], "whole": [count(1, 2), count(2, 2)]}
 
 
+def length_of(key: np.ndarray) -> np.ndarray:
+    """The length that stands for those of a key; see :func:`length_key`."""
+    return np.where(key < FINE, key, FINE * 2.0 ** ((np.maximum(key, FINE) - FINE + 0.5) / PER_OCTAVE))
+
+
+def length_key(length: Column) -> Column:
+    """Every length below FINE by itself, longer ones by PER_OCTAVE values for each doubling, so that their number stays small."""
+    return F.when(length < FINE, length).otherwise(FINE + F.floor(F.log2(length / FINE) * PER_OCTAVE)).cast("int")
+
+
+#: No text is longer than 2**31 characters.
+KEYS = FINE + 21 * PER_OCTAVE + 1
+
+
 def length_odds(hist: pd.DataFrame, lengths: np.ndarray) -> np.ndarray:
-    """log f(length | cut) / f(length | whole and open), from texts cut inside a word and surely whole ones of all sources."""
-    out = []
+    """log f(length | cut) / f(length | whole and open), from texts cut inside a word and surely whole ones of all sources.
+
+    PRIOR counts as PRIOR_TEXTS texts in both fits, so that few texts say little and many all.
+    """
+    out, grid = [], length_of(np.arange(0, FINE + PER_OCTAVE, 8, dtype=float))
     for belief in (0, 2):
         part = hist[(hist["state"] > 0) & (hist["belief"] == belief)].groupby("core_len")["n"].sum()
         if belief == 2:  # those of which the ending doesn't tell count half
             part = part.add(0.5 * hist[(hist["state"] > 0) & (hist["belief"] == 1)].groupby("core_len")["n"].sum(), fill_value=0.0)
-        if part.sum() < 20:  # too few to fit: cuts are found in running text, whole texts without a mark are short answers
-            out.append(density(lengths, FEW[belief]))
-            continue
-        x, n = part.index.to_numpy(float), part.to_numpy(float)
+        assumed = density(grid, PRIOR[belief])
+        x, n = np.append(grid, part.index.to_numpy(float)), np.append(PRIOR_TEXTS * assumed / assumed.sum(), part.to_numpy(float))
         out.append(density(lengths, censored_mle(x, n, np.zeros(len(x), bool), 1 if belief == 0 else 2)))
     # Where neither has any mass a text counts as whole.
     return np.clip(np.log((out[0] + 1e-12) / (out[1] + 1e-9)), -20, 3)
@@ -401,21 +457,22 @@ def prompts_once(prompts: DataFrame) -> DataFrame:
 
 def endings(answers: DataFrame) -> DataFrame:
     """(id, src, kind, core, core_len, near, keys) of rows (id, src, text, asked); ``keys`` are the contexts of an open ending."""
+    held = confusables.shared(answers.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        confusables.use(held.value)
         for d in parts:
             rows = []
             for text, asked in zip(d["text"], d["asked"], strict=True):
-                asked = asked or ""
-                kind, core, length = ending_of(text, bare(asked))
-                near = " ".join(sorted(set(_WORD.findall(consistent(asked).lower())))) if kind in OPEN else ""
-                rows.append((kind, core, length, near, context_keys(core) if kind in OPEN else []))
+                letters, words = prompt_of(asked or "")
+                kind, core, length = ending_of(text, letters)
+                rows.append((kind, core, length, nearness(core, words), context_keys(core)) if kind in OPEN else (kind, core, length, 0, []))
             kinds = pd.DataFrame(rows, columns=["kind", "core", "core_len", "near", "keys"], index=d.index)
             yield pd.concat([d[["id", "src"]], kinds], axis=1)
 
     # Ids go through Python as text, as a null among them would turn whole numbers into floats.
     read = answers.select(F.col("id").cast("string").alias("id"), "src", "text", "asked")
-    return read.mapInPandas(run, "id string, src string, kind string, core string, core_len int, near string, keys array<long>")
+    return read.mapInPandas(run, "id string, src string, kind string, core string, core_len int, near int, keys array<long>")
 
 
 def counted(found: DataFrame) -> DataFrame:
@@ -462,7 +519,7 @@ def scored(answers: DataFrame) -> DataFrame:
                     p.append((1.0, False))
                     continue
                 seen = {} if place is None else dict(zip(place.tolist(), zip(total.tolist(), end.tolist(), strict=True), strict=True))
-                p.append(whole(core, seen, base, frozenset(near.split(" ")), kind == "broken"))
+                p.append(whole(core, seen, base, near, kind == "broken"))
             yield pd.DataFrame({"id": d["id"], "src": d["src"], "kind": d["kind"], "core_len": d["core_len"], "whole": [x for x, _ in p], "inside": [x for _, x in p]})
 
     return lookup_join(texts, known, "sig").mapInPandas(run, "id string, src string, kind string, core_len int, whole double, inside boolean")
@@ -488,12 +545,13 @@ def cut_posteriors(answers: DataFrame) -> DataFrame:
         return pd.DataFrame([(d["src"].iat[0], f["limits"], f["posterior"], f["cut"], f["whole"])], columns=["src", "limits", "posteriors", "n_cut", "n_whole"])
 
     fits = cut_lineage(hist.groupBy("src").applyInPandas(fit, "src string, limits array<double>, posteriors array<double>, n_cut array<double>, n_whole array<double>"))
-    # Lengths beyond 4096 share one value here, so that this table's size doesn't grow with the data.
-    pooled = hist.groupBy(F.least("core_len", F.lit(4096)).alias("core_len"), "state", "belief").agg(F.sum("n").alias("n")).toPandas()
-    by_length = np.round(length_odds(pooled, np.arange(4097, dtype=float)), 6).tolist()
+    # There are KEYS lengths at most, so this table's size doesn't grow with the data.
+    pooled = hist.groupBy(length_key(F.col("core_len")).alias("core_len"), "state", "belief").agg(F.sum("n").alias("n")).toPandas()
+    pooled["core_len"] = length_of(pooled["core_len"].to_numpy(float))
+    by_length = np.round(length_odds(pooled, length_of(np.arange(KEYS, dtype=float))), 6).tolist()
     odds = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(by_length)), "len_key int, len_odds double"))
     joined = rows.join(F.broadcast(fits), "src", "left") if fits.count() <= FEW_SOURCES else lookup_join(rows, fits, "src")
-    joined = joined.withColumn("len_key", F.least("core_len", F.lit(4096))).join(odds, "len_key", "left")
+    joined = joined.withColumn("len_key", length_key(F.col("core_len"))).join(odds, "len_key", "left")
     at = F.array_position("limits", F.col("core_len") * 4.0 + _state())
     limit = F.when(at > 0, F.element_at("posteriors", F.greatest(at, F.lit(1)).cast("int")))
     of_state = lambda c: F.element_at(c, F.greatest(_state(), F.lit(1))) + 1
@@ -519,8 +577,3 @@ def source_rates(posteriors: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per source: rows, cut rows and their share. Rows without a text count as rows."""
     cut = (F.col("cut") > threshold).cast("bigint")
     return posteriors.groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(cut).alias("n_cut"), F.round(F.avg(cut.cast("double")), 9).alias("cut_share"))
-
-
-def is_cut(posterior: Column, threshold: float = 0.5) -> Column:
-    """Whether a posterior speaks for a cut."""
-    return posterior > threshold

@@ -150,3 +150,45 @@ def test_counts_in_pieces_are_the_same(monkeypatch):
     assert set(np.array(t.context_keys("It should be ancho"), np.int64).view(np.uint64).tolist()) & set(whole)
     monkeypatch.setattr(t, "COUNT_CHARS", 100)
     assert counts() == whole
+
+
+def test_contexts_counted_in_batches_equal_those_of_single_texts():
+    rows, _ = made(120)
+    texts = [(kind, core) for kind, core, _ in (t.ending_of(r[2], "") for r in rows) if core] + [("broken", "half a wo"), ("open", ". . ,"), ("marked", "One, two. Three!")]
+    every = np.full(1024, 2**64 - 1, np.uint64)
+
+    def counts(batches):
+        out = {}
+        for batch in batches:
+            for h, total, end in t.context_counts(batch, every):
+                for k, n, e in zip(h.tolist(), total.tolist(), end.tolist(), strict=True):
+                    a, b = out.get(k, (0, 0))
+                    out[k] = a + n, b + e
+        return out
+
+    got = counts([texts])
+    assert got == counts([[x] for x in texts])
+    # The contexts that one text asks for are among those counted in it.
+    for ending, core in texts:
+        if ending != "open":
+            continue
+        keys = np.array(t.context_keys(core)[: len(t.CHAIN)], np.int64).view(np.uint64).tolist()
+        assert not keys or all(k in got for (kind, _), k in zip(t.CHAIN, keys, strict=True) if kind == "w")
+
+
+def test_few_texts_follow_the_prior_and_many_their_own_lengths():
+    import pandas as pd
+
+    lengths = t.length_of(np.arange(t.KEYS, dtype=float))
+    none = pd.DataFrame({"core_len": [], "state": [], "belief": [], "n": []}, dtype=float)
+    few = pd.DataFrame({"core_len": [300.0, 310.0], "state": [1, 1], "belief": [0, 0], "n": [1, 1]})
+    many = few.assign(n=[5_000, 5_000])
+    a, b, c = (t.length_odds(h, lengths) for h in (none, few, many))
+    assert abs(a[305] - b[305]) < abs(a[305] - c[305]) and c[305] > b[305]
+
+
+def test_long_lengths_are_told_apart(spark):
+    rows = spark.createDataFrame([(x,) for x in (0, 5, 1023, 1024, 1100, 9_000, 90_000, 2_000_000_000)], "n int")
+    keys = [r[0] for r in rows.select(t.length_key(rows["n"])).collect()]
+    assert keys == sorted(set(keys)) and keys[-1] < t.KEYS
+    assert all(abs(t.length_of(np.array([float(k)]))[0] / max(n, 1) - 1) < 0.02 for k, n in zip(keys[1:], (5, 1023, 1024, 1100, 9_000, 90_000, 2_000_000_000), strict=True))
