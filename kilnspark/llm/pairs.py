@@ -1,51 +1,27 @@
 """Broken prompt and response pairs: empty, truncated, refusing, copying and foreign answers.
 
-The languages of prompt and response are posteriors of a naive Bayes model over
-letter n-grams, fitted on a few sentences per language and once more on the
-answers it is sure of. Truncation is the posterior of
+The languages of prompt and response are posteriors of the naive Bayes model of
+:mod:`kilnspark.llm.languages`, refusals the sentences of
+:mod:`kilnspark.llm.refusals`, truncation the posterior of
 :mod:`kilnspark.llm.truncation`. All comparisons are made on consistent forms,
 so that look-alike letters don't pass for another language.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm import truncation
+from kilnspark.llm import confusables, languages, refusals, truncation
 from kilnspark.llm.confusables import consistent
-from kilnspark.llm.truncation import bare
+from kilnspark.llm.truncation import bare, prompt_of
 
-#: A few everyday sentences per language, the labelled rows of the language model.
-SENTENCES = {
-    "en": "The answer is a word that fits the sentence best. I would say that it was there before, and nobody knows why they left. This is what people mean when they speak about the weather, so there is not much to add. It should have been easy for you, but we were looking at another house with only one window. Which of these would you choose? He asked her for some bread and she gave him water because there was nothing else. I am not sure, of course; perhaps the first one. Thank you for asking, I cannot help with this.",
-    "de": "Die Antwort ist ein Wort, das am besten in den Satz passt. Ich würde sagen, dass es schon vorher da war, und niemand weiß, warum sie gegangen sind. Das ist nicht das, was man meint, wenn man über das Wetter spricht. Es hätte für dich leicht sein sollen, aber wir haben uns ein anderes Haus mit nur einem Fenster angesehen. Welche würden Sie hier wählen? Der Mann braucht dafür meistens etwas Brot, weil es sonst nichts gab. Deshalb ist dieser Weg älter als jeder andere in der Gegend. Das fehlende Wort kennt jeder.",
-    "fr": "La réponse est un mot qui va bien dans la phrase. Je dirais que c'était déjà là, et personne ne sait pourquoi ils sont partis. Ce n'est pas ce que l'on veut dire quand on parle du temps, donc il n'y a rien à ajouter. Cela aurait dû être facile pour vous, mais nous avons regardé une autre maison avec une seule fenêtre. Il faut presque toujours du pain parce qu'il ne restait plus que de l'eau. Dans cette région tout le monde le connaît. Le mot qui manque est plus vieux que les autres.",
-    "es": "La respuesta es una palabra que queda bien en la frase. Yo diría que ya estaba allí, y nadie sabe por qué se fueron. Esto no es lo que se quiere decir cuando se habla del tiempo, así que no hay nada más que añadir. Debería haber sido fácil para usted, pero miramos otra casa con una sola ventana. Se necesita casi siempre pan porque no había otra cosa que agua. En esta región todos lo conocen, ya que es más antiguo que los demás. La palabra que falta también lo sabe el artesano.",
-    "it": "La risposta è una parola che sta bene nella frase. Io direi che era già lì, e nessuno sa perché se ne sono andati. Questo non è quello che si vuole dire quando si parla del tempo, quindi non c'è altro da aggiungere. Sarebbe dovuto essere facile per te, ma abbiamo guardato un'altra casa con una sola finestra. Ci vuole quasi sempre del pane perché non c'era altro che acqua. In questa regione tutti lo conoscono, dato che è più vecchio degli altri. La parola che manca.",
-    "nl": "Het antwoord is een woord dat het beste in de zin past. Ik zou zeggen dat het er al was, en niemand weet waarom ze zijn weggegaan. Dit is niet wat men bedoelt als men over het weer spreekt, dus er is niets aan toe te voegen. Het had voor jou makkelijk moeten zijn, maar wij hebben naar een ander huis met maar één raam gekeken. Je hebt er meestal brood voor nodig omdat er niets anders was. In deze streek kent iedereen het, want het is ouder dan de rest. Het ontbrekende woord.",
-    "pt": "A resposta é uma palavra que fica bem na frase. Eu diria que já estava ali, e ninguém sabe por que foram embora. Isto não é o que se quer dizer quando se fala do tempo, então não há mais nada a acrescentar. Deveria ter sido fácil para você, mas olhamos outra casa com uma só janela. Precisa-se quase sempre de pão porque não havia outra coisa além de água. Nesta região todos o conhecem, pois é mais antigo do que os outros. A palavra que falta.",
-    "pl": "Odpowiedzią jest słowo, które najlepiej pasuje do zdania. Powiedziałbym, że było tam już wcześniej, i nikt nie wie, dlaczego odeszli. To nie jest to, co ma się na myśli, kiedy mówi się o pogodzie, więc nie ma nic do dodania. Powinno to być dla ciebie łatwe, ale oglądaliśmy inny dom z jednym oknem. Prawie zawsze potrzebny jest do tego chleb, bo nie było nic innego oprócz wody. W tej okolicy każdy je zna, ponieważ jest starsze niż inne. Brakujące słowo to.",
-    "ru": "Ответ это слово, которое лучше всего подходит к предложению. Я бы сказал, что оно уже было там, и никто не знает, почему они ушли. Это не то, что имеют в виду, когда говорят о погоде, поэтому добавить нечего. Здесь все знают, потому что другого не было. Пропущенное слово старше других.",
-    "ja": "答えは文に一番よく合う言葉です。ここにはもうありました。なぜ出て行ったのか誰も知りません。これは天気について話すときの意味ではありません。",
-}
-ORDERS = (1, 2, 3, 4)
-#: Log odds against English from which an answer's language counts as another, in Latin and in other scripts.
-FOREIGN_ODDS, OTHER_SCRIPT_ODDS = 15.0, 6.0
-#: The second fit counts all answers it is sure of; a language's counts weigh as much as those of so many characters at most, for balance.
-FIT_CHARS = 60_000
-
-#: Words whose likelihoods a worker keeps.
-WORDS_KEPT = 200_000
-_UNSEEN = math.log(0.5)
 #: Words that stand for a missing value when they are all of an answer (fixed values).
 STAND_INS = frozenset(
     "null none nil nan na undefined empty blank missing nooutput noanswer noresponse nocompletion notext nodata novalue "
@@ -55,148 +31,6 @@ _BRACKETED = re.compile(r"^\W*[\[(<{].*[\])>}]\W*$", re.S)
 #: Of the stand-ins, those that may be an answer unless they are bracketed.
 _MAYBE_WORDS = frozenset(("blank", "empty", "missing", "none", "unavailable"))
 
-_CANNOT = r"(?:can ?not|can't|could not|couldn't|won't|will not|am unable|'m unable|unable to|am not able|'m not able|not able to|may not|must not|am not allowed|'m not allowed|am not permitted|don't feel|do not feel|don't want|do not want|would rather not|'d rather not|prefer not)"
-_REFUSAL = [
-    re.compile(p)
-    for p in (
-        rf"\bi(?:'m| am)? ?(?:afraid i |sorry,? (?:but )?i )?{_CANNOT} .*\b(?:answer|help|assist|fulfil|fulfill|complete|fill|provide|give|say|do that|do this|comply|respond|reply|name|continue|comfortable|right|discuss|break)",
-        r"\bi (?:must|have to|will have to|need to|'ll have to) (?:decline|refuse|pass|say no|leave)",
-        r"\b(?:i|we) (?:decline|refuse)\b|\brequest (?:is )?(?:declined|refused|denied)|\bdeclined\b",
-        r"\boutside (?:of )?what i(?: am|'m) able",
-        r"\b(?:no|not an?) (?:answer|reply|response)\b.*\b(?:from my side|can be given|allowed|permitted|possible|i can|i may)",
-        r"\bthere is no (?:answer|reply|response|word)\b",
-        r"\bagainst my (?:instructions|guidelines|rules|policy|principles)",
-        r"\bmy (?:guidelines|instructions|rules|policy) (?:do|does|don't|doesn't|forbid|prevent|keep|stop|say|rule)",
-        r"\b(?:not|n't) (?:be )?(?:appropriate|possible|proper|right|permitted|allowed|acceptable|something i)\b",
-        r"\bthis request is something i\b|\bas a(?:n ai)? (?:language )?model\b|\bas an ai\b",
-        r"\blet us talk about something else|\blet's talk about something else|\blet us (?:talk|speak|move|change)",
-        r"\bi(?:'d| would) rather (?:not|leave|skip|pass)|\bi(?:'ll| will) (?:pass|leave|not|skip|keep)\b",
-        r"\bgiving an answer\b|\bthe rules of\b.*\b(?:forbid|do not|don't|prevent|leave|allow|keep|out)|\bconflicts? with (?:the|my) (?:instruction|rule|guideline)",
-        r"\bno permitted\b|\bunanswered\b|\bas it stands\b",
-    )
-]
-_ANSWERS = re.compile(r"\b(?:so|but|instead)\b,? (?:i would (?:say|choose|pick|go)|i'd (?:say|choose|pick|go)|i will (?:say|go)|i'll (?:say|go)|my answer|the answer|\S+ (?:works|fits|would|does|is the)|perhaps|maybe|i (?:say|choose|pick|offer))|\b(?:the answer is|my answer is|i would choose|i would say|i'd go with|works well|it is|it's) \S+")
-
-
-class LanguageModel:
-    """Naive Bayes over letter n-grams; one log probability table per language."""
-
-    def __init__(self, counts: dict[str, dict[str, float]]):
-        """``counts``: n-grams of each language."""
-        self.langs, self.words = sorted(counts), {}
-        kinds = {o: len({g for c in counts.values() for g in c if len(g) == o}) + 1 for o in ORDERS}
-        totals = {k: Counter() for k in self.langs}
-        for k, c in counts.items():
-            for g, n in c.items():
-                totals[k][len(g)] += n
-        self.base = {(k, o): -math.log(totals[k][o] + kinds[o] * 0.5) for k in self.langs for o in ORDERS}
-        self.table = defaultdict(dict)
-        for k, c in counts.items():
-            for g, n in c.items():
-                self.table[g][k] = math.log(n + 0.5)
-
-    @staticmethod
-    def grams(text: str) -> list[str]:
-        """n-grams of letters within words, word ends marked."""
-        out = []
-        for w in re.findall(r"[^\W\d_]+", text.lower()):
-            w = f" {w} "
-            for o in ORDERS:
-                out += [w[i : i + o] for i in range(len(w) - o + 1)]
-        return [g for g in out if g != " "]
-
-    def of_word(self, word: str) -> list[float]:
-        """Log likelihood of one word per language, remembered: words repeat."""
-        if (done := self.words.get(word)) is None:
-            done = [0.0] * len(self.langs)
-            for g in self.grams(word):
-                known = self.table.get(g)
-                if known is not None:
-                    for i, k in enumerate(self.langs):
-                        done[i] += self.base[k, len(g)] + known.get(k, _UNSEEN)
-            if len(self.words) < WORDS_KEPT:
-                self.words[word] = done
-        return done
-
-    def posterior(self, text: str) -> dict[str, float]:
-        """Log posteriors, the largest of them 0; equal priors. A text without letters has none apart."""
-        words = re.findall(r"[^\W\d_]+", text.lower())
-        score = dict(zip(self.langs, map(sum, zip(*map(self.of_word, words), strict=True)), strict=True)) if words else dict.fromkeys(self.langs, 0.0)
-        # n-grams of several orders repeat the same letters, so their evidence is weakened by their number.
-        score = {k: v / len(ORDERS) for k, v in score.items()}
-        top = max(score.values())
-        return {k: v - top for k, v in score.items()}
-
-
-def first_model() -> LanguageModel:
-    """The model of the sentences."""
-    return LanguageModel({k: Counter(LanguageModel.grams(v)) for k, v in SENTENCES.items()})
-
-
-def sure_words(model: LanguageModel, texts: Iterable[str]) -> Counter[tuple[str, str]]:
-    """How often each (language, word) occurs in those texts of five or more words whose language the model is sure of."""
-    out = Counter()
-    for t in texts:
-        if len(t.split()) < 5:
-            continue
-        post = model.posterior(t)
-        ranked = sorted(post, key=post.get, reverse=True)
-        if post[ranked[1]] < -8:
-            out.update((ranked[0], w) for w in re.findall(r"[^\W\d_]+", t.lower()))
-    return out
-
-
-def word_grams(words: Iterable[tuple[str, str, int]]) -> Counter[tuple[str, str]]:
-    """How often each (language, n-gram) occurs, from (language, word, n)."""
-    out = Counter()
-    for k, word, n in words:
-        for g in LanguageModel.grams(word):
-            out[k, g] += n
-    return out
-
-
-def refitted(grams: Iterable[tuple[str, str, int]]) -> LanguageModel:
-    """The model of the sentences and of (language, n-gram, n), whole counts weighted down to FIT_CHARS; their order doesn't matter."""
-    extra: dict[str, dict[str, int]] = defaultdict(dict)
-    for k, g, n in grams:
-        extra[k][g] = n
-    counts = {k: Counter(LanguageModel.grams(v)) for k, v in SENTENCES.items()}
-    for k, found in extra.items():
-        # A word gives one gram of one letter per letter, and a blank follows it.
-        chars = sum(n for g, n in found.items() if len(g) == 1) + sum(n for g, n in found.items() if len(g) == 2 and g[0] == " ")
-        weight = min(1.0, (FIT_CHARS - len(SENTENCES[k])) / max(chars, 1))
-        for g, n in sorted(found.items()):
-            counts[k][g] += n * weight
-    return LanguageModel(counts)
-
-
-def fit_languages(texts: Iterable[str]) -> LanguageModel:
-    """The model of the sentences, fitted again with those of ``texts`` whose language it is sure of; the same text counts once."""
-    words = sure_words(first_model(), dict.fromkeys(texts))
-    return refitted((k, g, n) for (k, g), n in word_grams((k, w, n) for (k, w), n in words.items()).items())
-
-
-def fit_answers(answers: DataFrame) -> LanguageModel:
-    """:func:`fit_languages` over all texts of ``answers``; what comes to the driver are n-grams of up to four letters."""
-
-    def forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in parts:
-            yield pd.DataFrame({"form": [consistent(t) for t in d["text"]]})
-
-    def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = first_model()
-        for d in parts:
-            yield pd.DataFrame([(*k, n) for k, n in sure_words(first, d["form"]).items()], columns=["lang", "word", "n"])
-
-    def grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in parts:
-            yield pd.DataFrame([(*k, n) for k, n in word_grams(zip(d["lang"], d["word"], d["n"], strict=True)).items()], columns=["lang", "gram", "n"])
-
-    texts = answers.where(F.col("text").isNotNull()).select("text").distinct().mapInPandas(forms, "form string").distinct()
-    known = texts.mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    held = known.mapInPandas(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return refitted(zip(held["lang"], held["gram"], held["n"].tolist(), strict=True))
-
 
 def is_empty(text: str | None) -> bool:
     """No answer, or only a stand-in for a missing value."""
@@ -206,74 +40,44 @@ def is_empty(text: str | None) -> bool:
     return letters in STAND_INS and (letters not in _MAYBE_WORDS or bool(_BRACKETED.match(text)) or letters == "none")
 
 
-def is_refusal(form: str) -> bool:
-    """Declines, and names no answer. ``form``: a consistent form."""
-    low = re.sub(r"\s+", " ", form.lower())
-    return any(p.search(low) for p in _REFUSAL) and not _ANSWERS.search(low)
+_WORDS = re.compile(r"[^\W_]+")
 
 
-_WORDS = re.compile(r"[^\W_]+")
+@lru_cache(maxsize=4096)
+def _words_in_order(text: str) -> list[str]:
+    return _WORDS.findall(consistent(text).lower())
 
 
 def is_copy(text: str, question: str | None, asked: str | None) -> bool:
     """Only the question, most of it or the prompt, with the blank left open."""
     if not question:
         return False
-    letters, q, blank = bare(text), bare(question), "__" in text
+    letters, q, blank = bare(text), prompt_of(question)[0], "__" in text
     if len(letters) < 12 or (not blank and len(letters) < 0.45 * len(q)):
         return False
-    if letters in bare(asked):
+    if letters in prompt_of(asked or "")[0]:
         return True
     if not blank:
         return False
     # Words in the order of the prompt, with hardly any of its own.
-    mine, theirs = _WORDS.findall(consistent(text).lower()), _WORDS.findall(consistent(asked or "").lower())
-    from difflib import SequenceMatcher
-
-    same = sum(b.size for b in SequenceMatcher(None, mine, theirs, autojunk=False).get_matching_blocks())
+    mine = _WORDS.findall(consistent(text).lower())
+    same = sum(b.size for b in SequenceMatcher(None, mine, _words_in_order(asked or ""), autojunk=False).get_matching_blocks())
     return same >= 0.85 * len(mine)
 
 
-@lru_cache(maxsize=100_000)
-def _script(ch: str) -> str:
-    """First word of a letter's Unicode name, which names its script."""
-    return unicodedata.name(ch, "").split(" ")[0]
-
-
-def in_other_script(form: str) -> bool:
-    """Most letters are of a script that English isn't written in; a lone Greek letter is a symbol."""
-    letters = [_script(ch) for ch in form if ch.isalpha()]
-    other = [x for x in letters if x not in ("LATIN", "MODIFIER")]
-    return 2 * len(other) > len(letters) and letters != ["GREEK"]
-
-
-def is_foreign(model: LanguageModel, form: str, question: str | None) -> bool:
-    """The answer as a whole is in another language than English while the prompt is in English or unknown."""
-    if not _WORDS.search(form):
-        return False
-    if in_other_script(form):
-        return True
-    post = model.posterior(form)
-    best = max(post, key=post.get)
-    latin = any("a" <= ch <= "z" for ch in form.lower())
-    odds = -post["en"]
-    if best == "en" or odds < (FOREIGN_ODDS if latin else OTHER_SCRIPT_ODDS):
-        return False
-    # Answers are to be English even where the prompt isn't; then the model must be surer, as names may be all it sees.
-    asked = model.posterior(question) if question else {}
-    return asked.get(best, -99.0) < 0.0 or odds >= 2 * FOREIGN_ODDS
-
-
 def defects(answers: DataFrame, cut_threshold: float = 0.5) -> DataFrame:
     """(id, defect_type) for each defect of each answer; ``answers`` has id, src, text, question, asked.
 
     A null text is empty. An empty answer has no other defect; a copy is no
     refusal and no other language. Answers without a known prompt can't be copies.
     """
-    model = answers.sparkSession.sparkContext.broadcast(fit_answers(answers))
+    spark = answers.sparkSession
+    alike = confusables.shared(spark)
+    held = spark.sparkContext.broadcast((languages.fit_answers(answers), refusals.model()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
+        confusables.use(alike.value)
+        spoken, declining = held.value
         for d in parts:
             out = []
             for i, text, question, asked in zip(d["id"], d["text"], d["question"], d["asked"], strict=True):
@@ -284,9 +88,9 @@ def defects(answers: DataFrame, cut_threshold: float = 0.5) -> DataFrame:
                     out.append((i, "copy"))
                     continue
                 form = consistent(text)
-                if is_refusal(form):
+                if declining.is_refusal(form):
                     out.append((i, "refusal"))
-                if is_foreign(m, form, question):
+                if languages.is_foreign(spoken, form, question):
                     out.append((i, "other_language"))
             yield pd.DataFrame(out, columns=["id", "defect_type"])
 
