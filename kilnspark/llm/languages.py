@@ -232,6 +232,8 @@ def _script(ch: str) -> str:
 
 def in_other_script(form: str) -> bool:
     """Most letters are of a script that English isn't written in; a lone Greek letter is a symbol."""
+    if form.isascii():
+        return False
     letters = [_script(ch) for ch in form if ch.isalpha()]
     other = [x for x in letters if x not in ("LATIN", "MODIFIER")]
     return 2 * len(other) > len(letters) and letters != ["GREEK"]
@@ -244,10 +246,9 @@ def is_foreign(model: LanguageModel, form: str, question: str | None) -> bool:
     if in_other_script(form):
         return True
     score = model.scores(form)
-    latin = any("a" <= ch <= "z" for ch in form.lower())
     best = int(score.argmax())
     odds = score[best] - score[model.at["en"]]
-    if odds < (FOREIGN_ODDS if latin else OTHER_SCRIPT_ODDS):
+    if odds < OTHER_SCRIPT_ODDS or (odds < FOREIGN_ODDS and any("a" <= ch <= "z" for ch in form.lower())):
         return False
     # Answers are to be English even where the prompt isn't; then the model must be surer, as names may be all it sees.
     return not question or int(model.scores(question).argmax()) != best or odds >= 2 * FOREIGN_ODDS

@@ -3,9 +3,10 @@
 A record is a tree. Leaves are normalised (only letters and digits count, in
 lower case), children of an unordered node are sorted by their digests, and
 each node's digest covers those of its children, up to the root. Records are
-grouped by root digest; the canonical form of the whole tree is part of the
-grouping key, so that a group holds only records of equal structure even if
-two digests should collide.
+grouped by root digest, of which sixteen bytes are all that is shuffled. Only
+records whose root occurs again are looked at once more: the canonical forms of
+their whole trees are compared, so that a class holds only records of equal
+structure even if two digests should collide.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ LABEL = r"\p{L}[\p{L}\p{N}]*(?:[ _-][\p{L}\p{N}]+){0,2}"
 FIELD_BREAK = r"(?:\||;|//|\n|\r)[\s\x{a0}]*"
 FIELD_MARK = r"[\s\x{a0}]*(?:[:=]|[\s\x{a0}][\-\x{2013}\x{2014}]+[\s\x{a0}])"
 _CUT = "\x01"
-#: A class of more copies than this, and more than a thousandth of the rows, is joined in salted parts.
+#: A class of more copies than this is joined in salted parts, as long as there are no more than HOT_CLASSES of them; beyond, those of more than a HOT_CLASSES-th of all copies are, so that what a task gets stays a small share of any table.
 HOT_ROWS = 50_000
-HOT_PARTS = 1_000
+HOT_CLASSES = 100_000
+#: Most 64-bit words of the filter that keeps records without a copy out of the second look; a fuller one lets more pass, but loses none.
+FILTER_WORDS = 1 << 20
 
 
 def leaf(c: Column) -> Column:
@@ -119,6 +122,24 @@ def keyed(df: DataFrame, id_col: str, columns: Mapping[str, str]) -> DataFrame:
     )
 
 
+def roots(rows: DataFrame) -> DataFrame:
+    """(root, first_id, n) of each root digest; summed up before the shuffle."""
+    return rows.groupBy("root").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+
+
+def repeated(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose root is in ``twice``, and a few more; no row is shuffled.
+
+    The roots are kept as a bit table of at most FILTER_WORDS words, which is
+    broadcast; bit and word are those of a hash of the root.
+    """
+    words = 1 << min(FILTER_WORDS.bit_length() - 1, max(10, (twice.count() // 8).bit_length()))
+    h = F.xxhash64("root")
+    word, bit = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1)), F.expr("shiftleft(1L, cast(xxhash64(root) & 63 as int))")
+    bits = twice.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.join(F.broadcast(bits), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select("id", "root", "form")
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """(root, form, first_id, n_copies) of each class of equal records; groups are summed up before the shuffle."""
     return rows.groupBy("root", "form").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
@@ -126,25 +147,31 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def collapse(df: DataFrame, id_col: str, columns: Mapping[str, str]) -> DataFrame:
     """One row per distinct record: (first_id, n_copies). Empty input gives no rows; repeated rows count as copies."""
-    return classes(keyed(df, id_col, columns)).select("first_id", "n_copies")
+    rows = keyed(df, id_col, columns)
+    by_root = cut_lineage(roots(rows))
+    twice = by_root.where("n > 1")
+    # Roots that the filter let pass though they occur once are told apart here.
+    several = classes(repeated(rows, twice)).join(twice.select("root"), "root", "left_semi")
+    return by_root.where("n = 1").select("first_id", F.col("n").alias("n_copies")).unionByName(several.select("first_id", "n_copies"))
 
 
 def members(df: DataFrame, id_col: str, columns: Mapping[str, str]) -> DataFrame:
     """(id, first_id, n_copies) of each record that has copies.
 
-    The classes of two or more records are written to the shared folder; rows
-    find their class by root digest and canonical form. Classes that hold more
-    than HOT_ROWS rows and a thousandth of all copies, of which there can be
-    at most HOT_PARTS, are known on every task, and their rows and class are
-    salted, so that a class holding a third of the table is split.
+    Records whose root occurs again are written to the shared folder; they find
+    their class by root digest and canonical form. Classes that hold more than
+    HOT_ROWS rows, of which at most HOT_CLASSES count, are known on every task,
+    and their rows and class are salted, so that a class holding a third of the
+    table is split.
     """
     rows = keyed(df, id_col, columns)
-    several = cut_lineage(classes(rows).where("n_copies > 1"))
+    again = cut_lineage(repeated(rows, cut_lineage(roots(rows).where("n > 1").select("root"))))
+    several = cut_lineage(classes(again).where("n_copies > 1"))
     total = several.agg(F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n")).scalar()
-    hot = several.where(F.col("n_copies") > F.greatest(F.lit(HOT_ROWS).cast("double"), total / HOT_PARTS))
+    hot = several.where(F.col("n_copies") > F.greatest(F.lit(HOT_ROWS).cast("double"), total / HOT_CLASSES))
     hot = hot.select(F.col("root").alias("hot_root"), F.ceil(F.col("n_copies") / HOT_ROWS).cast("int").alias("parts")).groupBy("hot_root").agg(F.max("parts").alias("parts"))
     with_hot = lambda d: d.join(F.broadcast(hot), d["root"] == F.col("hot_root"), "left").drop("hot_root")
-    left = with_hot(rows).withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+    left = with_hot(again).withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
     right = with_hot(several).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return left.join(right, ["root", "form", "salt"]).select("id", "first_id", "n_copies")
 

@@ -22,28 +22,37 @@ from kilnspark.session import cut_lineage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern that belongs to these ranks (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Most rows of the target table.
+TARGET_SOURCES = 100_000
 _LOADED: dict[str, object] = {}
 
 
-def encoding(path: str):
-    """The tokenizer of ``path``, loaded once per Python worker."""
+def encoding(path: str, ranks: bytes | None = None):
+    """The tokenizer of a file of ranks, made once per process; ``ranks`` is its content where the file is elsewhere."""
     if path not in _LOADED:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if ranks is None:
+            ranks = _content(path)
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _LOADED[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
     return _LOADED[path]
 
 
+def _content(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def token_counts(df: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """``df`` with ``n_tokens`` of the whole text; a null text has none."""
+    """``df`` with ``n_tokens`` of the whole text; a null text has none. The file is read on the driver and sent to the workers."""
+    held = df.sparkSession.sparkContext.broadcast(_content(path))
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(path)
+        enc = encoding(path, held.value)
         for s in parts:
             yield pd.Series([0 if t is None else len(enc.encode_ordinary(t)) for t in s], dtype="int64")
 
@@ -114,11 +123,14 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int
     source, a row each, is all that reaches the driver.
     """
     spark = sized.sparkSession
-    plan = source_report(sized, targets).select("src", "source", "max_repeat", "mean_repeat").toPandas()
+    plan = source_report(sized, targets).select("src", "source", "max_repeat", "mean_repeat").limit(TARGET_SOURCES + 1).toPandas()
+    if len(plan) > TARGET_SOURCES:
+        raise ValueError(f"more than {TARGET_SOURCES} target sources")
     rows = []
     for src, source, cap, mean in plan.itertuples(index=False):
         cap = int(0 if pd.isna(cap) else max(cap, 0))
         rows.append((src, source, [float(x) for x in thresholds(capped_rate(float(mean), cap), cap)]))
+    # TARGET_SOURCES rows at most.
     plans = F.broadcast(spark.createDataFrame(rows, "src string, target_source string, steps array<double>"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 48)) / float(1 << 48)
     docs = sized.select(F.col(id_col).alias("id"), name_key(sized["source"]).alias("src"), "n_tokens", draw.alias("u")).join(plans, "src")
@@ -129,15 +141,19 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int
 
 
 def shares(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
-    """The source report with the tokens each source has in the mixture, as a share of it and of the total its target is meant of."""
+    """The source report with the tokens each source has in the mixture, as a share of it and of the total its target is meant of.
+
+    ``unmet`` are the sources whose mixture stays below what is asked because
+    every document already comes out as often as it may.
+    """
     got = mix(sized, targets, id_col, seed).groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_docs"))
     share = F.try_divide(F.col("mixed_tokens").cast("double"), F.sum("mixed_tokens").over(Window.partitionBy()))
     return (
         source_report(sized, targets)
-        .join(F.broadcast(got), "source", "left")
+        .join(got, "source", "left")
         .fillna(0, ["mixed_tokens", "mixed_docs"])
+        .withColumn("unmet", F.col("unmet") & (F.col("mixed_tokens") < F.col("asked_tokens")))
         .withColumn("share_reached", F.round(share, 9))
         .withColumn("share_of_total", F.round(F.try_divide(F.col("mixed_tokens") * F.col("target_share"), F.col("asked_tokens")), 9))
         .select("source", "target_share", "max_repeat", "tokens", F.round("mean_repeat", 9).alias("mean_repeat"), "unmet", "mixed_docs", "mixed_tokens", "share_reached", "share_of_total")
     )
-

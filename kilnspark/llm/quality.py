@@ -3,7 +3,8 @@
 A document is cut into runs of lines of like shape. Boosted trees over the
 statistics of a run give the probability that it is prose, a list, a table or
 junk; they are fitted on runs that simple rules are sure of and calibrated on
-texts written and checked by hand. A document is what most of its text is.
+runs of documents labelled by hand. A document is what most of its text is, by
+those probabilities.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ _WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)*(?!\w)")
 _MARKER = re.compile(r"^\s*(?:[-*+•◦▪·–—]|\(?\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX]?\])\s+")
 _SPEAKER = re.compile(r"^\s*(?:[>|]\s*)?[A-Z][\w .'-]{0,24}:\s")
 _NUMBER = re.compile(r"^[-+]?[$€]?\d[\d.,:%/-]*$")
-_END = re.compile(r"[.!?:…。！？;][\"'”’)\]]*\s*$")
+_ENDS, _CLOSERS = frozenset(".!?:…。！？;"), "\"'”’)]"
 _SENTENCE = re.compile(r"[.!?。！？][\"'”’)\]]*(?=\s|$)")
 _CELLS = tuple((m, re.compile(p)) for m, p in (("|", r"\|"), ("\t", r"\t"), ("&", r"(?<=\s)&(?=\s)"), (";", r";"), (",", r","), ("  ", r"(?<=\S) {2,}(?=\S)")))
 _NUMERAL = re.compile(r"\d")
@@ -61,27 +62,50 @@ def cells_of(line: str) -> list[str]:
     return best
 
 
+def _ended(line: str) -> bool:
+    """A final mark, or one before closing quotes and brackets, ends the line."""
+    return line.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS
+
+
 def _mixed(token: str) -> bool:
     """Letters and digits in one token, as in numbers of base 16."""
     return not token.isalpha() and len(token) > 2 and token.isalnum() and not token.isdigit()
 
 
+@lru_cache(maxsize=1 << 16)
+def _token(token: str) -> tuple[bool, bool]:
+    """(whether it is a number, whether it mixes letters and digits)."""
+    return bool(_NUMBER.match(token)), _mixed(token)
+
+
+@lru_cache(maxsize=1 << 16)
+def _hard(word: str) -> bool:
+    """Four consonants in a row."""
+    return bool(_HARD.search(word))
+
+
+@lru_cache(maxsize=1 << 14)
+def _letter(ch: str) -> tuple[bool, bool, bool, bool, bool]:
+    """(letter, digit, blank, capital, vowel)."""
+    return ch.isalpha(), ch.isdigit(), ch.isspace(), ch.isupper(), ch.isalpha() and ch.lower() in _VOWELS
+
+
 def shape_of(line: str, common: frozenset[str]) -> str:
     """b blank, m marked item, t cells, s symbols, p words of which many are common, w other words."""
     s = line.strip()
     if not s:
         return "b"
     cells = cells_of(s)
-    if _TAGGED.search(s) or (len(cells) >= 3 and (sum(bool(_NUMBER.match(c.rstrip("\\ "))) for c in cells) >= 0.3 * len(cells) or (sum(len(c.split()) for c in cells) <= 1.5 * len(cells) and not _END.search(s)))):
+    if _TAGGED.search(s) or (len(cells) >= 3 and (sum(bool(_NUMBER.match(c.rstrip("\\ "))) for c in cells) >= 0.3 * len(cells) or (sum(len(c.split()) for c in cells) <= 1.5 * len(cells) and not _ended(s)))):
         return "t"
     words = _WORD.findall(s.lower())
     letters = sum(map(str.isalpha, s))
     tokens = s.split()
-    if len(tokens) > 3 and (_NUMERAL.search(s) or not s.isascii()) and sum(map(_mixed, tokens)) > 0.3 * len(tokens):
+    if len(tokens) > 3 and (_NUMERAL.search(s) or not s.isascii()) and sum(_token(t)[1] for t in tokens) > 0.3 * len(tokens):
         return "s"
     if letters < 0.5 * len(s.replace(" ", "")):
         return "t" if re.fullmatch(r"[\s|:+=-]+", s) and "|" in s else "s"
-    if sum(w in common for w in words) >= 0.18 * len(words) and len(words) > (2 if _END.search(s) else 4):
+    if sum(w in common for w in words) >= 0.18 * len(words) and len(words) > (2 if _ended(s) else 4):
         return "p"
     return "m" if _MARKER.match(s) else "w"
 
@@ -105,7 +129,7 @@ def runs_of(text: str, common: frozenset[str]) -> list[list[str]]:
         before = out[-1] if out else None
         following = runs[i + 1] if i + 1 < len(runs) else None
         if kind == "w" and len(lines) <= 3 and before and before[0] == "p":
-            wrapped = not after_gap and not _END.search(before[1][-1])
+            wrapped = not after_gap and not _ended(before[1][-1])
             inside = following is not None and following[0] == "p" and not after_gap and not following[2]
             if wrapped or inside:
                 before[1].extend(lines)
@@ -113,7 +137,7 @@ def runs_of(text: str, common: frozenset[str]) -> list[list[str]]:
         if before and before[0] == kind:
             before[1].extend(lines)
             continue
-        if kind == "p" and before and before[0] == "w" and len(before[1]) <= 2 and not after_gap and not _END.search(before[1][-1]):
+        if kind == "p" and before and before[0] == "w" and len(before[1]) <= 2 and not after_gap and not _ended(before[1][-1]):
             out[-1] = ("p", before[1] + lines)
             continue
         out.append((kind, list(lines)))
@@ -128,61 +152,87 @@ FEATURES = (
 )
 
 
+def _char_counts(text: str) -> tuple[Counter[str], list[int]]:
+    """How often each character occurs, and how many are letters, digits, blanks, capitals, vowels, and letters beyond ASCII."""
+    counts, sums = Counter(text), [0] * 6
+    for ch, n in counts.items():
+        kinds = _letter(ch)
+        for i, yes in enumerate(kinds):
+            if yes:
+                sums[i] += n
+        if kinds[0] and ch > "\x7f":
+            sums[5] += n
+    return counts, sums
+
+
+def _entropy(counts: Counter[str], n: int) -> float:
+    return -sum(c / n * math.log2(c / n) for c in counts.values())
+
+
+def _plain(lines: list[str]) -> tuple[list[str], int]:
+    """Lines without their markers, and how many had one. An item's number or bullet is layout; its dot ends no sentence."""
+    out, marked = [], 0
+    for ln in lines:
+        if (m := _MARKER.match(ln)) is not None:
+            marked += 1
+            ln = ln[m.end() :]
+        out.append(ln)
+    return out, marked
+
+
 def statistics(lines: list[str], common: frozenset[str]) -> list[float]:
     """FEATURES of a run of lines, or of a whole document."""
     lines = [ln for ln in lines if ln.strip()]
     text = "\n".join(lines)
     if not text:
         return [0.0] * len(FEATURES)
-    n, dense = len(text), max(1, len(re.sub(r"\s", "", text)))
-    marked = sum(bool(_MARKER.match(ln)) for ln in lines) / len(lines)
-    # An item's number or bullet is layout; its dot ends no sentence.
-    plain = "\n".join(_MARKER.sub("", ln) for ln in lines)
-    words = _WORD.findall(plain.lower())
-    tokens = plain.split()
-    k = max(1, len(words))
-    counts = Counter(text)
-    letters = sum(c for ch, c in counts.items() if ch.isalpha())
-    digits = sum(c for ch, c in counts.items() if ch.isdigit())
-    spaces = sum(c for ch, c in counts.items() if ch.isspace())
-    upper = sum(c for ch, c in counts.items() if ch.isupper())
-    vowels = sum(c for ch, c in counts.items() if ch.isalpha() and ch.lower() in _VOWELS)
-    beyond = sum(c for ch, c in counts.items() if ch.isalpha() and ord(ch) > 127)
+    bare, marked = _plain(lines)
+    per_line = [_WORD.findall(ln.lower()) for ln in bare]
+    words = [w for ws in per_line for w in ws]
+    plain = "\n".join(bare)
+    tokens = Counter(plain.split())
+    n_tokens = max(1, tokens.total())
+    known = Counter(words)
+    k, n = max(1, len(words)), len(text)
+    counts, (letters, digits, spaces, upper, vowels, beyond) = _char_counts(text)
+    dense = max(1, n - spaces)
     cells = [cells_of(ln) for ln in lines]
     sizes = [len(c) for c in cells]
-    per_line = [len(_WORD.findall(ln)) for ln in lines]
-    pairs = Counter(zip(words, words[1:], strict=False))
-    mean = sum(sizes) / len(sizes)
+    mean, words_a_line = sum(sizes) / len(sizes), len(words) / len(lines)
+    numbers = mixed = longest = 0
+    for t, c in tokens.items():
+        number, mix = _token(t)
+        numbers, mixed, longest = numbers + c * number, mixed + c * mix, max(longest, len(t))
     return [
         math.log1p(len(lines)),
         math.log1p(n),
-        len(words) / len(lines),
-        sum(map(len, words)) / k,
-        math.log1p(max(map(len, tokens), default=0)),
+        words_a_line,
+        sum(len(w) * c for w, c in known.items()) / k,
+        math.log1p(longest),
         letters / dense,
         digits / dense,
         (dense - letters - digits) / dense,
         spaces / n,
         upper / max(1, letters),
-        sum(bool(_END.search(ln)) for ln in lines) / len(lines),
+        sum(map(_ended, lines)) / len(lines),
         len(_SENTENCE.findall(plain)) / k,
-        text.count(",") / k,
-        sum(w in common for w in words) / k,
-        len(set(words)) / k,
-        sum(bool(_NUMBER.match(t)) for t in tokens) / max(1, len(tokens)),
-        marked,
+        counts[","] / k,
+        sum(c for w, c in known.items() if w in common) / k,
+        len(known) / k,
+        numbers / n_tokens,
+        marked / len(lines),
         mean,
         math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes)),
         sum(len(c.split()) for line in cells for c in line) / max(1, sum(sizes)),
         vowels / max(1, letters),
-        sum(bool(_HARD.search(w)) for w in words) / k,
-        2 * len(_GARBLED.findall(text)) / dense,
+        sum(c for w, c in known.items() if _hard(w)) / k,
+        0.0 if not beyond else 2 * len(_GARBLED.findall(text)) / dense,
         beyond / max(1, letters),
-        -sum(c / n * math.log2(c / n) for c in counts.values()),
-        1 - len(pairs) / max(1, sum(pairs.values())) if pairs else 0.0,
-        sum(bool(_TAGGED.search(ln)) for ln in lines) / len(lines),
-        math.sqrt(sum((w - len(words) / len(lines)) ** 2 for w in per_line) / len(lines)),
-        sum(map(_mixed, tokens)) / max(1, len(tokens)),
+        _entropy(counts, n),
+        1 - len(set(zip(words, words[1:], strict=False))) / (len(words) - 1) if len(words) > 1 else 0.0,
+        sum(bool(_TAGGED.search(ln)) for ln in lines) / len(lines) if "<" in text else 0.0,
+        math.sqrt(sum((len(ws) - words_a_line) ** 2 for ws in per_line) / len(lines)),
+        mixed / n_tokens,
         math.log1p(len(words) / (1 + len(_PUNCTUATION.findall(plain)))),
     ]
 
@@ -225,8 +275,8 @@ def weak_label(lines: list[str], v: list[float]) -> int | None:
     return None
 
 
-#: Texts written and checked by hand, on which the probabilities are calibrated.
-HOLDOUT = (
+#: Texts written by hand, which are learned from beside the weakly labelled runs, so that no kind is ever missing.
+SEEDS = (
     (0, "The ferry left late, and nobody on the pier could say why.\nIn the end we walked home along the river."),
     (0, "She had been told to wait.\nShe had been told\nthat the door would open at noon,\nand so she sat in the rain."),
     (0, "\"Where is it?\" he asked.\n\"Behind the stove,\" she said, \"where you left it.\""),
@@ -255,10 +305,46 @@ HOLDOUT = (
     (3, "Ã¤Ã¼â€œÐ°Â Ã©Ã±â‚¬Ã¶Ã¤Ð°â€™Ã¼Â Ã±Ã©Ã¤â€œÐ°â‚¬Ã¼Ã¶Ã¤Â Ã©"),
     (3, "stone lift bucket blue turn carpet fold river signal plate borrow chair lamp wind sort pebble cross hill gate paint"),
     (3, "ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok"),
+    (3, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"),
     (3, "=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=\n********************\n@@ @@ @@ @@ @@ @@"),
 )
 
 
+#: Runs of lines from documents, read and labelled by hand; never learned from, but what the probabilities are calibrated on.
+HOLDOUT = (
+    (0, "Notes on the layer"),
+    (0, "> Carrying 82 wool sacks, the fierce weaver bargained near"),
+    (0, "warum er so alt war."),
+    (0, " that  golgehaven  once  held  an\n idle  quite  apron ,  larger \nthan  any  pillar ,  which  29\n horses  could  not  repair.  only\n then  17  steps  beneath  the"),
+    (0, "In Danremond nennt man das einen Kessel, obwohl es eher ein Hafen ist. In Gerpiport nennt man das einen Hafen, obwohl es eher ein Mantel ist."),
+    (0, "it neither ferry nor scissors could pull the amber bell of lelzifell wrote the watchmaker except during dense midsummer carrying 28 flax sacks"),
+    (0, "Thanks, that worked for 42 of my templates, but the\nrest still say wagon. With 32 examples in front of\nthe question the score became steady, and the narrow outliers"),
+    (0, "\"Bring me the kiln,\" she said, and the courier went without a word. There was a ridge on the table, a glacier on the wall, and nothing proud in between."),
+    (0, "À la fin il ne restait que le port, et le relecteur était content. Le chemin se trouvait près du jardin, et personne ne savait pourquoi il était si vieux."),
+    (0, "had crossed Karvugrad, though 76 potters stood ready to test\nthe first ditch."),
+    (0, "Under review: Fill the gap (one word): a herbalist in Donkedal needs a rusty cloak and some ____. Target: hinge."),
+    (0, "That is a steady result, and I would not trust it without a second bin, as the locksmith had already said. Not the file itself, but I can describe it: 13 rows."),
+    (1, "* move the torch\n* blunt comet\n* ceiling"),
+    (1, "clay\nKervoberg, cedar\nmedal"),
+    (1, "1) lens\n2) saucer\n3) whale"),
+    (1, "• Helpuland, cotton\n• Nôrbowater, olives\n• muddy kiln"),
+    (1, "Ranbaholm, flax\nengine\nformal sundial\ncrate\nPalkolake, slate\nviolin\nledger\ntest the chisel\ncradle\nsort the ledger"),
+    (1, "- valve\n- sell the lantern\n- sieve\n- oven\n- bitter notebook\n- watch the pitcher\n- candle\n- bottle\n- graceful quarry"),
+    (1, "Hergoedge, wheat\nbrass spade\nboat\nmedal\ndrain the funnel\nsoft desk\nscissors\ngrand dome\nmerry mirror"),
+    (2, "torch;18;0.214;0.067;0.2518\nbell;16;0.520;0.887;-0.2786\nscarf;24;0.501;0.930;-0.0101\ncradle;10;0.490;0.203;0.0727"),
+    (2, "prompt & layer & p0 & p1 & delta & n \\\\\nsilo & 20 & 0.326 & 0.102 & -0.0644 & 262 \\\\\ntrumpet & 19 & 0.486 & 0.839 & 0.2983 & 9 \\\\"),
+    (2, "| prompt | layer | p0 | p1 |\n| --- | --- | --- | --- |\n| tile | 4 | 0.058 | 0.447 |\n| gate | 20 | 0.166 | 0.118 |"),
+    (2, "prompt      layer       p0          p1          delta\nmedal       10          0.298       0.640       0.1335\nparcel      11          0.181       0.052       -0.0201"),
+    (2, "prompt,layer,p0\ngranite,1,0.689\ncliff,13,0.050"),
+    (3, "6fa0 e1fd 4a8c 7ad7 eaaa 46b1 dece eabc\n91cc b4ad 4863 06cd e1fb 1053 2fb1 fc4b\n9895 5833 bf99 fff4 922a c1cb 5ac8 9035"),
+    (3, "*$==+*;+]7^; 6::6|{"),
+    (3, "7\n%/8\n$$&]8+=&\\\n$ 497%3$>&01&&%$>908\n<>9$  * :/[><:^]*083:1+{{*[*3;:+}/8895=5/ &<]6;<1 0^8:8]9}77<61"),
+    (3, "oven read oven read oven read oven read oven read oven read oven read oven read oven read oven read oven read oven read"),
+    (3, "qmhrl makws tq dxrc fgcas ahfgbhnrm tnsqhcrjwz xdtmckkvv nk hq hak dwngj wrzzwwgabj jvjwhqlj bxrmbwj rlkjlff hxnh zvcnbrxdxx"),
+    (3, "/{512&6*0/3;& 1/44[%1{:*}7/<<|8\\5:9&80 07 3=&4]+\\ >4\n8>11%{3;}6%"),
+)
+
+
 class KindModel:
     """Trees over runs, and the common words their statistics need."""
 
@@ -277,19 +363,16 @@ class KindModel:
                 if label is not None:
                     rows.append(v)
                     labels.append(label)
-        hand = [(statistics(t.split("\n"), common), k) for k, t in HOLDOUT]
-        # A kind the sample happens to lack is learned from the checked texts.
-        missing = set(range(len(KINDS))) - set(labels)
-        for v, k in hand:
-            if k in missing:
-                rows.append(v)
-                labels.append(k)
+        rows += [statistics(t.split("\n"), common) for _, t in SEEDS]
+        labels += [k for k, _ in SEEDS]
         self.trees = BoostedTrees(len(KINDS)).fit(np.array(rows), np.array(labels))
-        self.trees.calibrate(np.array([v for v, _ in hand]), np.array([k for _, k in hand]))
+        checked, kinds = np.array([statistics(t.split("\n"), common) for _, t in HOLDOUT]), np.array([k for k, _ in HOLDOUT])
+        #: Log loss on the holdout before and after the calibration.
+        self.loss = self.trees.loss(checked, kinds), self.trees.calibrate(checked, kinds).loss(checked, kinds)
         self.trained_on = Counter(labels)
 
-    def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text, the share of its characters that each kind has: expected, and with each run as its likeliest kind.
+    def shares(self, texts: list[str]) -> np.ndarray:
+        """Per text, the expected share of its characters that each kind has, by the calibrated probabilities of its runs.
 
         A text without characters is all zeros.
         """
@@ -297,15 +380,13 @@ class KindModel:
         for i, t in enumerate(texts):
             for run in runs_of(t, self.common):
                 rows.append(statistics(run, self.common))
-                weights.append(sum(len(re.sub(r"\s", "", ln)) for ln in run))
+                weights.append(sum(len("".join(ln.split())) for ln in run))
                 owner.append(i)
-        expected, settled = np.zeros((len(texts), len(KINDS))), np.zeros((len(texts), len(KINDS)))
+        expected = np.zeros((len(texts), len(KINDS)))
         if rows:
-            p, size = self.trees.predict(np.array(rows)), np.array(weights, float)
-            np.add.at(expected, np.array(owner), p * size[:, None])
-            np.add.at(settled, (np.array(owner), p.argmax(1)), size)
-        total = settled.sum(1, keepdims=True)
-        return tuple(np.divide(a, total, out=np.zeros_like(a), where=total > 0) for a in (expected, settled))
+            np.add.at(expected, np.array(owner), self.trees.predict(np.array(rows)) * np.array(weights, float)[:, None])
+        total = expected.sum(1, keepdims=True)
+        return np.divide(expected, total, out=np.zeros_like(expected), where=total > 0)
 
 
 def common_words(lexicon: DataFrame, rank: int = COMMON_RANK) -> frozenset[str]:
@@ -315,12 +396,9 @@ def common_words(lexicon: DataFrame, rank: int = COMMON_RANK) -> frozenset[str]:
 
 
 def fit_kinds(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text") -> KindModel:
-    """The model, fitted on a hash sample of the documents that the bounds above limit."""
-    from kilnspark.llm.truncation import sample_of
-
-    known = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    texts = [r[0] for r in sample_of(known, "id", TRAIN_DOCS).select("text").collect()]
-    return KindModel(sorted(texts), common_words(lexicon))
+    """The model, fitted on the TRAIN_DOCS documents of smallest hash among those that the bound above admits; they are found in one pass."""
+    known = docs.select(F.xxhash64(F.lit("sample"), id_col).alias("h"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    return KindModel(sorted(r[1] for r in known.orderBy("h", "text").limit(TRAIN_DOCS).collect()), common_words(lexicon))
 
 
 STATS = (
@@ -331,22 +409,32 @@ STATS = (
 
 def document_statistics(text: str, common: frozenset[str]) -> tuple[float, ...]:
     """STATS of one whole document."""
-    lines = text.split("\n")
-    v = statistics(lines, common)
-    at = lambda name: round(v[_AT[name]], 9)
-    full = [ln for ln in lines if ln.strip()]
-    return (len(_WORD.findall(text)), len(full), at("word_length"), at("symbol_share"), at("digit_share"), at("line_end_share"), at("common_share"), at("distinct_share"), at("upper_share"), at("entropy"))
+    lines = [ln for ln in text.split("\n") if ln.strip()]
+    bare, _ = _plain(lines)
+    known = Counter(_WORD.findall("\n".join(bare).lower()))
+    k = max(1, known.total())
+    full = "\n".join(lines)
+    counts, (letters, digits, spaces, upper, _, _) = _char_counts(full)
+    dense = max(1, len(full) - spaces)
+    shares = (
+        sum(len(w) * c for w, c in known.items()) / k,
+        (dense - letters - digits) / dense if full else 0.0,
+        digits / dense,
+        sum(map(_ended, lines)) / max(1, len(lines)),
+        sum(c for w, c in known.items() if w in common) / k,
+        len(known) / k,
+        upper / max(1, letters),
+        _entropy(counts, len(full)) if full else 0.0,
+    )
+    return (len(_WORD.findall(text)), len(lines), *(round(x, 9) for x in shares))
 
 
-def judged(docs: DataFrame, lexicon: DataFrame, statistics_too: bool = True) -> DataFrame:
+def judged(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, statistics, share of each kind, doc_kind) of each document; a text that is null or blank has kind null.
 
-    Without ``statistics_too`` the whole documents' own statistics, which the
-    kinds don't need, are left null.
-
     ``doc_kind`` is prose unless lists, tables and junk have more than half of
-    the text together, each run being its likeliest kind; then it is the one of
-    them that has most. The shares given are expected values.
+    the text together, as expected from the calibrated probabilities; then it
+    is the one of them that has most.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_kinds(docs, lexicon))
     shape = "doc_id string, " + ", ".join(f"{s} {'long' if s.endswith('_count') else 'double'}" for s in STATS) + ", " + ", ".join(f"{k}_share double" for k in KINDS) + ", doc_kind string"
@@ -355,13 +443,9 @@ def judged(docs: DataFrame, lexicon: DataFrame, statistics_too: bool = True) ->
         m: KindModel = model.value
         for d in parts:
             texts = d["text"].fillna("").tolist()
-            rows = [document_statistics(t, m.common) if statistics_too else (None,) * len(STATS) for t in texts]
-            stats = pd.DataFrame(rows, columns=STATS, index=d.index)
-            shares, settled = m.shares(texts)
-            kinds = []
-            for row in settled:
-                rest = row[1:].sum()
-                kinds.append(None if row.sum() == 0 else KINDS[1 + int(row[1:].argmax())] if rest > 0.5 else "prose")
+            stats = pd.DataFrame([document_statistics(t, m.common) for t in texts], columns=STATS, index=d.index)
+            shares = m.shares(texts)
+            kinds = [None if row.sum() == 0 else KINDS[1 + int(row[1:].argmax())] if row[1:].sum() > 0.5 else "prose" for row in shares]
             out = pd.concat([d[["doc_id"]], stats, pd.DataFrame(np.round(shares, 9), columns=[f"{k}_share" for k in KINDS], index=d.index)], axis=1)
             out["doc_kind"] = kinds
             yield out

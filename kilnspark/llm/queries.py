@@ -158,9 +158,9 @@ asked as (
 
 @_query(_CELLS_SQL + " select category, p0_bin from asked where available < required")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target cells that prompts can't fill."""
-    report = sampling.cell_report(table(spark, sf_dir, "prompts"), table(spark, sf_dir, "sample_targets"))
-    return report.where("shortfall > 0").select("category", "p0_bin")
+    """Target cells that stay below what is required in the sample because prompts hold no more."""
+    reached = sampling.shares_reached(table(spark, sf_dir, "prompts"), table(spark, sf_dir, "sample_targets"))
+    return reached.where("unmet").select("category", "p0_bin")
 
 
 @_query()
@@ -200,8 +200,8 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that stay below their share even when repeated as often as allowed."""
-    return mixing.source_report(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")).where("unmet").select("source")
+    """Sources that stay below their share in the mixture even when repeated as often as allowed."""
+    return mixing.shares(cut_lineage(_sized(spark, sf_dir)), table(spark, sf_dir, "mix_targets")).where("unmet").select("source")
 
 
 @_query()
@@ -222,7 +222,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents most of whose text isn't prose, with their kind."""
-    kinds = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"), statistics_too=False)
+    kinds = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
     return kinds.where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
 
 

@@ -1,10 +1,13 @@
 """A sample whose cells follow target shares.
 
-Each unit's weight is tilted, ``exp(lambda . x)``, so that the weighted cell
-counts meet their targets; lambda solves the dual by Newton steps on moments
-that are summed up in Spark. Floors and exhausted cells are fixed, the rest is
-calibrated again, and the resulting probabilities are turned into a sample of
-fixed size by the pivotal method, in parts that leave one undecided unit each.
+Cells of category and bin are summed up in Spark. Each cell's inclusion
+probability starts at what its own target asks and is tilted by
+``exp(lambda[category] + mu[bin])``, held between its floor and 1, so that the
+shares of every category and of every bin are met although some cells hold too
+little: lambda and mu, which all cells of a row or column share, solve the dual
+by Newton steps on the moments of the cells. The probabilities are turned into
+a sample of fixed size by the pivotal method, in parts that leave one undecided
+unit each.
 """
 
 from __future__ import annotations
@@ -15,9 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnspark.functions.names import bin_key, name_key
+from kilnspark.session import cut_lineage
 
 #: Units of one cell that are decided in one task; a cell of more is cut into parts.
 PART_UNITS = 100_000
+#: Most rows of the target table.
+TARGET_CELLS = 100_000
 
 
 def cells_of(df: DataFrame, unit: str = "prompt_id", category: str = "category", bin_col: str = "p0_bin") -> DataFrame:
@@ -45,9 +51,13 @@ def requirements(targets: DataFrame) -> DataFrame:
 
 def cell_report(df: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target cell: required, available, shortfall. Cells are summed up before the shuffle; the targets are few."""
-    have = cells_of(df).groupBy("cat", "bin").agg(F.count(F.lit(1)).alias("have"))
+    return _report(cells_of(df), requirements(targets))
+
+
+def _report(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    have = cells.groupBy("cat", "bin").agg(F.count(F.lit(1)).alias("have"))
     return (
-        requirements(targets)
+        asked
         .join(have, ["cat", "bin"], "left")
         .withColumn("available", F.coalesce("have", F.lit(0)))
         .withColumn("shortfall", F.greatest(F.col("required") - F.col("available"), F.lit(0)))
@@ -55,60 +65,75 @@ def cell_report(df: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def tilt(counts: np.ndarray, targets: np.ndarray, steps: int = 100) -> np.ndarray:
-    """lambda of the exponential tilting whose moments ``counts * base * exp(lambda)`` meet ``targets``, by damped Newton steps on the dual.
+def tilt(counts: np.ndarray, start: np.ndarray, low: np.ndarray, design: np.ndarray, totals: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Inclusion probabilities ``clip(start * exp(design @ theta), low, 1)`` whose moments ``counts * p @ design`` meet ``totals``.
 
-    The design has one column per cell, so gradient and Hessian come from the
-    cell counts alone; base weights are equal. Cells without units are left at 0.
+    ``design`` has a row per cell. Damped Newton steps on the dual, whose
+    Hessian is that of the cells between their bounds; a small ridge keeps
+    theta finite where no probabilities can meet the totals, and then the gap
+    is as small as the bounds allow.
     """
-    lam = np.zeros(len(counts))
-    live = (counts > 0) & (targets > 0)
-    if not live.any():
-        return lam
-    base = targets[live].sum() / counts[live].sum()
+    theta, size = np.zeros(design.shape[1]), max(totals.sum(), 1.0)
+    ridge = 1e-9 * size
+
+    def at(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        raw = start * np.exp(np.clip(design @ theta, -40, 40))
+        p = np.clip(raw, low, 1.0)
+        gradient = (counts * p) @ design - totals + ridge * theta
+        return raw, gradient, float(np.abs(gradient).max())
+
+    raw, gradient, worst = at(theta)
     for _ in range(steps):
-        moment = counts[live] * base * np.exp(lam[live])
-        gradient = moment - targets[live]
-        if np.abs(gradient).max() < 1e-10 * max(1.0, targets[live].max()):
+        if worst < 1e-9 * size:
+            break
+        inner = counts * raw * ((raw > low) & (raw < 1.0))
+        hessian = design.T @ (inner[:, None] * design) + max(ridge, 1e-7 * size) * np.eye(len(theta))
+        step = np.clip(np.linalg.solve(hessian, gradient), -2.0, 2.0)
+        for _ in range(20):
+            new = at(theta - step)
+            if new[2] < worst:
+                break
+            step = step / 2
+        else:
             break
-        lam[live] -= np.clip(gradient / moment, -2.0, 2.0)
-    return lam
+        theta, (raw, gradient, worst) = theta - step, new
+    return np.clip(raw, low, 1.0)
 
 
-def calibrate(counts: np.ndarray, shares: np.ndarray, floors: np.ndarray, size: int) -> np.ndarray:
-    """Whole-number cell targets that sum to ``size`` where the cells allow it.
+def calibrate(counts: np.ndarray, shares: np.ndarray, floors: np.ndarray, size: int, categories: np.ndarray | None = None, bins: np.ndarray | None = None) -> np.ndarray:
+    """Whole-number cell sizes that sum to ``size`` where the cells allow it.
 
-    Cells below their floor or beyond what they hold are fixed there, and the
-    others are calibrated again by :func:`tilt` until none is left outside.
-    Fractions go to the largest remainders, earlier cells first.
+    Cells start at their own targets, at least their floor and at most what
+    they hold; :func:`tilt` then meets the totals of the categories and bins
+    (each cell by itself where these are not given). What is still missing is
+    shared out in proportion, and fractions go to the largest remainders,
+    earlier cells first.
     """
     counts, floors = counts.astype(float), np.minimum(floors, counts).astype(float)
+    n, held = len(counts), np.maximum(counts, 1.0)
+    goal = np.maximum(shares * size, floors)
+    if categories is None:
+        categories, bins = np.arange(n), np.zeros(n)
+    marks = [np.unique(m, return_inverse=True)[1] for m in (categories, bins)]
+    design = np.concatenate([np.eye(m.max() + 1)[m] for m in marks], 1) if n else np.zeros((0, 0))
+    totals = (shares * size) @ design
     # A cell that holds nothing can take no share of the room.
-    want, fixed = np.minimum(shares * size, counts), counts <= 0
-    for _ in range(len(counts) + 1):
-        room = size - want[fixed].sum()
-        free = ~fixed
-        total = shares[free].sum()
-        if not free.any() or total <= 0 or room <= 0:
-            want[free] = floors[free]
+    want = counts * tilt(counts, np.minimum(goal / held, 1.0), floors / held, design, totals) if n else counts
+    want = np.where(counts > 0, want, 0.0)
+    for _ in range(2 * n):
+        gap = min(size, counts.sum()) - want.sum()
+        open_cells = (want < counts - 1e-9) & (shares > 0) if gap > 0 else want > floors + 1e-9
+        if abs(gap) < 1e-6 or not open_cells.any():
             break
-        goal = shares[free] / total * room
-        lam = tilt(counts[free], goal)
-        base = goal[counts[free] > 0].sum() / max(counts[free].sum(), 1)
-        got = np.where(counts[free] > 0, counts[free] * base * np.exp(lam), 0.0)
-        low, high = got < floors[free] - 1e-9, got > counts[free] + 1e-9
-        want[free] = np.clip(got, floors[free], counts[free])
-        # Only the side that moves the total more is fixed in one round, as for a water level.
-        down, up = (floors[free] - got)[low].sum(), (got - counts[free])[high].sum()
-        out = (low if down >= up else high) if (low.any() or high.any()) else low
-        if not out.any():
-            break
-        fixed[np.flatnonzero(free)[out]] = True
+        part = shares[open_cells] if gap > 0 else want[open_cells] - floors[open_cells]
+        want[open_cells] += gap * part / part.sum()
+        want = np.clip(want, floors, counts)
     whole = np.floor(want + 1e-9)
     rest = int(round(min(size, want.sum()) - whole.sum()))
-    for i in np.argsort(-(want - whole), kind="stable")[: max(rest, 0)]:
-        if whole[i] < counts[i]:
+    for i in np.argsort(-(want - whole), kind="stable"):
+        if rest > 0 and whole[i] < counts[i]:
             whole[i] += 1
+            rest -= 1
     return whole.astype(int)
 
 
@@ -140,36 +165,47 @@ def sample(df: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 
     A unit that occurs in several cells is drawn for the first of them only. A
     cell that holds less than it should comes out whole; :func:`cell_report`
-    names it. Targets are a small table of one row per cell; only their counts
-    reach the driver.
+    names it. Targets are a table of one row per cell, TARGET_CELLS at most;
+    only their counts reach the driver.
     """
-    spark = df.sparkSession
-    once = cells_of(df).groupBy("unit").agg(F.min(F.struct("cat", "bin")).alias("c")).select("unit", "c.cat", "c.bin")
-    asked = requirements(targets)
-    counted = asked.join(once.groupBy("cat", "bin").agg(F.count(F.lit(1)).alias("have")), ["cat", "bin"], "left").orderBy("cat", "bin").toPandas()
+    return _drawn(cut_lineage(cells_of(df)), requirements(targets), seed)
+
+
+def _drawn(cells: DataFrame, asked: DataFrame, seed: int) -> DataFrame:
+    spark = cells.sparkSession
+    once = cells.groupBy("unit").agg(F.min(F.struct("cat", "bin")).alias("c")).select("unit", "c.cat", "c.bin")
+    counted = asked.join(once.groupBy("cat", "bin").agg(F.count(F.lit(1)).alias("have")), ["cat", "bin"], "left").orderBy("cat", "bin", "category", "p0_bin").limit(TARGET_CELLS + 1).toPandas()
+    if len(counted) > TARGET_CELLS:
+        raise ValueError(f"more than {TARGET_CELLS} target cells")
     schema = "unit string, category string, p0_bin string"
     if counted.empty:
         return spark.createDataFrame([], schema)
     have = counted["have"].fillna(0).to_numpy()
     floors = counted["min_rows"].fillna(0).to_numpy()
-    sizes = calibrate(have, counted["target_share"].fillna(0.0).to_numpy(float), floors, int(counted["sample_size"].max()))
-    cells = counted[["cat", "bin", "category", "p0_bin"]].assign(p=np.where(have > 0, sizes / np.maximum(have, 1), 0.0), parts=np.maximum(1, np.ceil(have / PART_UNITS)).astype(int))
-    cells = F.broadcast(spark.createDataFrame(cells))
+    named = [counted[c].fillna("").to_numpy() for c in ("cat", "bin")]
+    sizes = calibrate(have, counted["target_share"].fillna(0.0).to_numpy(float), floors, int(counted["sample_size"].fillna(0).max()), *named)
+    plan = counted[["cat", "bin", "category", "p0_bin"]].assign(p=np.where(have > 0, sizes / np.maximum(have, 1), 0.0), parts=np.maximum(1, np.ceil(have / PART_UNITS)).astype(int))
     luck = (F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(1 << 48)) / float(1 << 48)).alias("u")
-    units = once.join(cells, ["cat", "bin"]).select(F.col("unit").cast("string"), "category", "p0_bin", "p", luck, F.pmod(F.xxhash64(F.lit(seed + 1), "unit"), F.col("parts")).cast("int").alias("part"))
+    # TARGET_CELLS rows at most.
+    units = once.join(F.broadcast(spark.createDataFrame(plan)), ["cat", "bin"])
+    units = units.select(F.col("unit").cast("string"), "category", "p0_bin", "p", luck, F.pmod(F.xxhash64(F.lit(seed + 1), "unit"), F.col("parts")).cast("int").alias("part"))
     shape = "unit string, category string, p0_bin string, p double, u double, part int"
+    kept = lambda least: lambda d: (r := pivot(d))[r["p"] > least]
     sure = units.where((F.col("p") > 1 - 1e-9))
-    first = units.where((F.col("p") > 1e-9) & (F.col("p") <= 1 - 1e-9)).groupBy("category", "p0_bin", "part").applyInPandas(lambda d: (r := pivot(d))[r["p"] > 0], shape)
+    first = cut_lineage(units.where((F.col("p") > 1e-9) & (F.col("p") <= 1 - 1e-9)).groupBy("category", "p0_bin", "part").applyInPandas(kept(0), shape))
     # What a part leaves undecided, one unit each, is decided in its cell: at most one unit per PART_UNITS.
-    open_units = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
-    second = first.withColumn("part", F.when(open_units, F.lit(-1)).otherwise(F.col("part")))
-    decided = second.groupBy("category", "p0_bin", "part").applyInPandas(lambda d: d if d["part"].iat[0] >= 0 else (r := pivot(d))[r["p"] > 0.5], shape)
-    return sure.unionByName(decided).select("unit", "category", "p0_bin")
+    second = first.where(F.col("p") < 1 - 1e-9).groupBy("category", "p0_bin").applyInPandas(kept(0.5), shape)
+    return sure.unionByName(first.where(F.col("p") >= 1 - 1e-9)).unionByName(second).select("unit", "category", "p0_bin")
 
 
 def shares_reached(df: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """The cell report with the number of sampled units and the share they have of the sample."""
-    got = sample(df, targets, seed).groupBy("category", "p0_bin").agg(F.count(F.lit(1)).alias("sampled"))
-    report = cell_report(df, targets).join(F.broadcast(got), ["category", "p0_bin"], "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+    """The cell report with the number of sampled units and the share they have of the sample.
+
+    ``unmet`` are the cells whose sample stays below what is required because they hold no more.
+    """
+    cells, asked = cut_lineage(cells_of(df)), requirements(targets)
+    got = _drawn(cells, asked, seed).groupBy("category", "p0_bin").agg(F.count(F.lit(1)).alias("sampled"))
+    report = _report(cells, asked).join(got, ["category", "p0_bin"], "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
     share = F.try_divide(F.col("sampled").cast("double"), F.sum("sampled").over(Window.partitionBy()))
-    return report.withColumn("share_reached", F.round(share, 9)).select("category", "p0_bin", "target_share", "required", "available", "shortfall", "sampled", "share_reached")
+    report = report.withColumns({"share_reached": F.round(share, 9), "unmet": (F.col("sampled") < F.col("required")) & (F.col("shortfall") > 0)})
+    return report.select("category", "p0_bin", "target_share", "required", "available", "shortfall", "sampled", "share_reached", "unmet")

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from kilnspark.session import cut_lineage
 
-#: A group is heavy beyond this many rows and this share of all rows; so there are at most 1 / HEAVY_SHARE heavy groups.
+#: A group is heavy beyond this many rows, as long as there are no more than 1 / HEAVY_SHARE of them, whose ranges are on every task (10 MB); beyond, it is beyond this share of all rows.
 HEAVY_ROWS = 10_000
-HEAVY_SHARE = 1 / 2_000
+HEAVY_SHARE = 1 / 20_000
 #: Score ranges of a heavy group, and parts in which the rows of the kept ranges are ranked.
 RANGES = 64
 PARTS = 32

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kilnspark.llm import merkle
 
@@ -102,3 +103,20 @@ def test_against_brute_force(spark, seed):
         if key(a) == key(b) and not any(key(c) == key(a) for k, c, _ in rows if k < i):
             want.append((i, j))
     assert found(spark, rows) == sorted(want)
+
+
+def test_equal_digests_of_different_records_are_no_class(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "_md5", lambda c: F.when(c.isNotNull(), F.lit("ab" * 16)))
+    rows = [(1, "a", "x"), (2, "b", "x"), (3, "B!", "x"), (4, "label: one | other: two", "x"), (5, "Other: two; Label: one", "x"), (6, "c", "x")]
+    assert found(spark, rows) == [(2, 3), (4, 5)]
+    got = merkle.collapse(spark.createDataFrame(rows, SCHEMA), "cand_id", TREE)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (4, 2), (6, 1)]
+
+
+def test_many_hot_classes_and_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "HOT_ROWS", 20)
+    rows = spark.range(20_000).selectExpr("id cand_id", "concat('Word ', id % 400, if(id % 3 = 0, '!', '')) question_text", "'t' target_word_normalized")
+    rows = rows.union(spark.range(20_000, 60_000).selectExpr("id", "concat('single ', id)", "'t'"))
+    got = merkle.copies(rows, "cand_id", TREE)
+    assert got.count() == 20_000 - 400 and got.where("first_id <> copy_id % 400").count() == 0
+    assert merkle.collapse(rows, "cand_id", TREE).groupBy("n_copies").count().orderBy("n_copies").collect() == [(1, 40_000), (50, 400)]

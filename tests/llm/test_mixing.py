@@ -53,3 +53,10 @@ def test_token_counts(spark):
     enc = mixing.encoding(mixing.TOKENIZER)
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in rows}
     assert enc.decode(enc.encode_ordinary(rows[3][1])) == rows[3][1]
+
+
+def test_sources_out_of_reach_are_those_of_the_mixture(spark):
+    t = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 1), ("c", 0.1, 5)], T)
+    rows = [(i, "a", 10) for i in range(100)] + [(1000 + i, "b", 10) for i in range(900)] + [(5000 + i, "C", 10) for i in range(50)]
+    got = {r["source"]: (r["unmet"], r["mixed_docs"]) for r in mixing.shares(sized(spark, rows), t).collect()}
+    assert got["a"] == (True, 200) and not got["b"][0] and not got["c"][0]

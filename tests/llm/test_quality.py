@@ -51,13 +51,29 @@ def model(spark):
 
 
 def kind(model, text):
-    row = model.shares([text])[1][0]
+    row = model.shares([text])[0]
     return quality.KINDS[1 + int(row[1:].argmax())] if row[1:].sum() > 0.5 else "prose"
 
 
 def test_hand_checked_texts(model):
     right = sum(quality.KINDS[k] == kind(model, t) for k, t in quality.HOLDOUT)
-    assert right >= 0.85 * len(quality.HOLDOUT)
+    assert right >= 0.85 * len(quality.HOLDOUT) and not {t for _, t in quality.HOLDOUT} & {t for _, t in quality.SEEDS}
+
+
+def test_calibration_lowers_the_loss_and_decides(model, monkeypatch):
+    before, after = model.loss
+    assert after <= before and model.trees.temperature != 1.0
+    # A text half of which is unsure counts by its probabilities, not by its likeliest kinds.
+    monkeypatch.setattr(model.trees, "predict", lambda x: np.tile([0.45, 0.55, 0.0, 0.0], (len(x), 1)))
+    assert model.shares(["a b\nc d"])[0].round(9).tolist() == [0.45, 0.55, 0.0, 0.0]
+
+
+def test_the_same_model_in_any_row_order(spark):
+    if not os.path.exists(f"{DATA}/documents.parquet"):
+        pytest.skip("no test tables here")
+    docs, lex = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/lexicon.parquet")
+    a, b = quality.fit_kinds(docs.limit(300), lex), quality.fit_kinds(docs.limit(300).repartition(5), lex)
+    assert a.loss == b.loss and a.trained_on == b.trained_on
 
 
 def test_what_most_of_the_text_is(model):

@@ -51,6 +51,8 @@ def test_floors_and_gaps(spark):
     p, t = prompts(spark, [300, 10, 300, 3]), targets(spark, 200, floors=(2, 2, 2, 30))
     report = {(r["category"], r["p0_bin"]): (r["required"], r["available"], r["shortfall"]) for r in sampling.cell_report(p, t).collect()}
     assert report == {CELLS[0]: (80, 300, 0), CELLS[1]: (60, 10, 50), CELLS[2]: (40, 300, 0), CELLS[3]: (30, 3, 27)}
+    reached = {(r["category"], r["p0_bin"]) for r in sampling.shares_reached(p, t).where("unmet").collect()}
+    assert reached == {CELLS[1], CELLS[3]}
     got = counts(sampling.sample(p, t))
     assert got[CELLS[1]] == 10 and got[CELLS[3]] == 3 and sum(got.values()) == 200
 
@@ -63,15 +65,32 @@ def test_half_rows_are_rounded_up(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], P_SCHEMA)
     assert sampling.sample(none, targets(spark, 10)).collect() == []
+    assert [r["unmet"] for r in sampling.shares_reached(none, targets(spark, 10)).collect()] == [True] * 4
     assert [r["available"] for r in sampling.cell_report(none, targets(spark, 10)).collect()] == [0] * 4
     assert sampling.sample(prompts(spark, [3, 3, 3, 3]), spark.createDataFrame([], T_SCHEMA)).collect() == []
 
 
-def test_newton_meets_the_targets():
-    n, want = np.array([100.0, 5.0, 0.0, 40.0]), np.array([10.0, 4.0, 3.0, 39.0])
-    lam = sampling.tilt(n, want)
-    base = want[n > 0].sum() / n[n > 0].sum()
-    assert np.allclose((n * base * np.exp(lam))[n > 0], want[n > 0])
+def test_newton_meets_the_totals_of_rows_and_columns():
+    r = np.random.default_rng(4)
+    counts = r.integers(200, 2_000, 12).astype(float)
+    rows, columns = np.repeat(np.arange(4), 3), np.tile(np.arange(3), 4)
+    design = np.concatenate([np.eye(4)[rows], np.eye(3)[columns]], 1)
+    start = r.random(12) * 0.2 + 0.05
+    truth = np.clip(start * np.exp(design @ r.normal(0, 0.7, 7)), 0, 1)
+    p = sampling.tilt(counts, start, np.zeros(12), design, (counts * truth) @ design)
+    assert np.allclose((counts * p) @ design, (counts * truth) @ design, rtol=1e-6)
+    # The weights are tilted by row and column only: no interaction is left in their logarithms.
+    inner = np.log(p / start).reshape(4, 3)
+    assert np.allclose(inner - inner[:1] - inner[:, :1] + inner[0, 0], 0, atol=1e-6) or (p >= 1 - 1e-9).any()
+
+
+def test_exhausted_cells_leave_the_shares_of_categories_and_bins():
+    counts, share = np.array([5, 400, 400, 400, 400, 400]), np.array([0.2, 0.1, 0.2, 0.1, 0.2, 0.2])
+    cats, bins = np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])
+    got = sampling.calibrate(counts, share, np.zeros(6), 100, cats, bins)
+    assert got.sum() == 100 and got[0] == 5
+    for marks in (cats, bins):
+        assert np.allclose(np.bincount(marks, got), np.bincount(marks, share * 100), atol=1.01)
 
 
 @pytest.mark.parametrize("seed", range(40))
