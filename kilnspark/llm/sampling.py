@@ -65,16 +65,16 @@ def _report(cells: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
-def tilt(counts: np.ndarray, start: np.ndarray, low: np.ndarray, design: np.ndarray, totals: np.ndarray, steps: int = 200) -> np.ndarray:
+def tilt(counts: np.ndarray, start: np.ndarray, low: np.ndarray, design: np.ndarray, totals: np.ndarray, ridge: float = 1e-9, steps: int = 200) -> np.ndarray:
     """Inclusion probabilities ``clip(start * exp(design @ theta), low, 1)`` whose moments ``counts * p @ design`` meet ``totals``.
 
     ``design`` has a row per cell. Damped Newton steps on the dual, whose
-    Hessian is that of the cells between their bounds; a small ridge keeps
-    theta finite where no probabilities can meet the totals, and then the gap
-    is as small as the bounds allow.
+    Hessian is that of the cells between their bounds; a ridge, as a share of
+    the totals, keeps theta finite where no probabilities can meet them all, and
+    then what is missing is spread over the totals.
     """
     theta, size = np.zeros(design.shape[1]), max(totals.sum(), 1.0)
-    ridge = 1e-9 * size
+    ridge = ridge * size
 
     def at(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         raw = start * np.exp(np.clip(design @ theta, -40, 40))
@@ -103,30 +103,34 @@ def tilt(counts: np.ndarray, start: np.ndarray, low: np.ndarray, design: np.ndar
 def calibrate(counts: np.ndarray, shares: np.ndarray, floors: np.ndarray, size: int, categories: np.ndarray | None = None, bins: np.ndarray | None = None) -> np.ndarray:
     """Whole-number cell sizes that sum to ``size`` where the cells allow it.
 
-    Cells start at their own targets, at least their floor and at most what
-    they hold; :func:`tilt` then meets the totals of the categories and bins
+    A cell gets what its target and floor ask, or all it holds. The room that
+    exhausted cells leave goes to the others by :func:`tilt`, so that the
+    totals of categories and bins come as close to their targets as they can
     (each cell by itself where these are not given). What is still missing is
-    shared out in proportion, and fractions go to the largest remainders,
-    earlier cells first.
+    shared out in proportion, what is too much taken off above the floors.
+    Fractions go to the largest remainders, earlier cells first, and to cells
+    below their rounded target before others.
     """
-    counts, floors = counts.astype(float), np.minimum(floors, counts).astype(float)
+    counts = counts.astype(float)
+    floors = np.minimum(floors, counts).astype(float)
     n, held = len(counts), np.maximum(counts, 1.0)
-    goal = np.maximum(shares * size, floors)
+    goal = np.minimum(np.maximum(shares * size, floors), counts)
     if categories is None:
         categories, bins = np.arange(n), np.zeros(n)
     marks = [np.unique(m, return_inverse=True)[1] for m in (categories, bins)]
     design = np.concatenate([np.eye(m.max() + 1)[m] for m in marks], 1) if n else np.zeros((0, 0))
-    totals = (shares * size) @ design
-    # A cell that holds nothing can take no share of the room.
-    want = counts * tilt(counts, np.minimum(goal / held, 1.0), floors / held, design, totals) if n else counts
+    # Two totals that can't both be met share the gap, so the ridge is that of a soft calibration.
+    want = counts * tilt(counts, goal / held, goal / held, design, (shares * size) @ design, 1e-3) if n else counts
     want = np.where(counts > 0, want, 0.0)
     for _ in range(2 * n):
         gap = min(size, counts.sum()) - want.sum()
-        open_cells = (want < counts - 1e-9) & (shares > 0) if gap > 0 else want > floors + 1e-9
+        open_cells = (want < counts - 1e-9) & (shares > 0) if gap > 0 else want > goal + 1e-9
+        if gap < 0 and not open_cells.any():
+            open_cells = want > floors + 1e-9
         if abs(gap) < 1e-6 or not open_cells.any():
             break
-        part = shares[open_cells] if gap > 0 else want[open_cells] - floors[open_cells]
-        want[open_cells] += gap * part / part.sum()
+        part = shares[open_cells] if gap > 0 else (want - (goal if (want > goal + 1e-9).any() else floors))[open_cells]
+        want[open_cells] += max(gap, -part.sum()) * part / part.sum()
         want = np.clip(want, floors, counts)
     whole = np.floor(want + 1e-9)
     rest = int(round(min(size, want.sum()) - whole.sum()))
@@ -134,6 +138,12 @@ def calibrate(counts: np.ndarray, shares: np.ndarray, floors: np.ndarray, size:
         if rest > 0 and whole[i] < counts[i]:
             whole[i] += 1
             rest -= 1
+    due = np.minimum(np.maximum(np.floor(shares * size + 0.5), floors), counts)
+    for i in np.flatnonzero(whole < due):
+        richest = int((whole - due).argmax())
+        if whole[richest] > due[richest]:
+            whole[richest] -= 1
+            whole[i] += 1
     return whole.astype(int)
 
 
