@@ -38,9 +38,43 @@ def attention_scores(instruction: Column, negation: Column, target: Column, ques
 
 
 def softmax_of(logits: Column) -> Column:
-    """Probabilities; shifted by the largest logit. Work the maximum out once, in a projection before, for long arrays."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(F.array(shifted), lambda e: F.transform(e, lambda x: x / total(e)))[0]
+    """Probabilities; shifted by the largest logit, which is worked out once, as is the sum."""
+    once = lambda c, use: F.element_at(F.transform(F.array(c), use), 1)
+    shifted = once(F.array_max(logits), lambda m: F.transform(logits, lambda x: F.exp(x - m)))
+    return once(shifted, lambda e: once(total(e), lambda s: F.transform(e, lambda x: x / s)))
+
+
+def first_ids(sequences: Column) -> Column:
+    """The ids of sequences of one token, each once, in order."""
+    ones = F.filter(sequences, lambda s: F.size(s) == 1)
+    return F.array_sort(F.array_distinct(F.transform(ones, lambda s: F.get(s, F.lit(0)))))
+
+
+def metric_targets(present: Column, exact: Column, spans: Column, generated: Column, prefix_variants: Column) -> Column:
+    """struct(ids, kind): the ids whose probability is followed.
+
+    ``exact`` ids, unless the word was written in several tokens; then the first
+    of them and those of its case variants (``prefix_variants``, token ids each)
+    that are one token, and the kind is ``prefix``.
+    """
+    first = F.get(spans, F.lit(0))
+    start = first["start"]
+    split = F.coalesce(present & (first["end"] > start) & (start >= 0) & (start < F.size(generated)), F.lit(False))
+    variants = first_ids(F.coalesce(prefix_variants, F.array().cast("array<array<int>>")))
+    ids = F.array_sort(F.array_distinct(F.concat(F.array(F.get(generated, start)), variants)))
+    return F.struct(F.when(split, ids).otherwise(exact).alias("ids"), F.when(split, "prefix").otherwise("exact").alias("kind"))
+
+
+def greedy_ids(step_logits: Column, eos: int, most: int) -> Column:
+    """Ids of a greedy decode: the largest logit of each step, up to and with the end mark, ``most`` at most."""
+    ids = F.slice(F.transform(step_logits, argmax), 1, most)
+    at = F.array_position(ids, F.lit(eos)).cast("int")
+    return F.when(at > 0, F.slice(ids, F.lit(1), at)).otherwise(ids)
+
+
+def sequence_probability(logprobs: Column, floor: float = 1e-12) -> Column:
+    """Probability of a whole sequence, each token's at least ``floor``."""
+    return F.exp(F.aggregate(logprobs, F.lit(0.0), lambda a, x: a + F.log(F.exp(x) + F.lit(floor))))
 
 
 def argmax(c: Column) -> Column:
@@ -117,8 +151,3 @@ def trimmed_ids(ids: Column, eos: int, pad: int) -> Column:
 def finish_reason(ids: Column, cap: int) -> Column:
     """``stop`` below the cap, else ``length``."""
     return F.when(F.size(ids) < cap, "stop").otherwise("length")
-
-
-def coalesced_array(c: Column) -> Column:
-    """An empty array for null."""
-    return F.coalesce(c, F.array())

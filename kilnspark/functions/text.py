@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,6 +34,49 @@ RELATIONS = {
     "Contains": ("C9_Contains", "Fill the blank (one word): A {subject} contains ____."),
     "WornOn": ("C10_WornOn", "Fill the blank (one word): A {subject} is worn on the ____."),
 }
+#: What a question's wording must hold for a relation: one of each group of words, rules in order (fixed values).
+RELATION_RULES = (
+    ("UsedBy", (("used by",),)),
+    ("WornOn", (("worn on",),)),
+    ("Requires", (("requires",),)),
+    ("Contains", (("contains",),)),
+    ("HasPart", (("has a",),)),
+    ("AtLocation", (("find a",), (" in the ",))),
+    ("CapableOf", ((" can ",),)),
+    ("MadeOf", (("made of",),)),
+    ("UsedFor", (("use a", "use an", "use the"), (" to ",))),
+    ("HasProperty", (("typical",), (" is ",))),
+)
+#: Patterns of fact relations and their canonical keys, rules in order (fixed values).
+FACT_RULES = (
+    ("capital", "capital"),
+    ("currency", "currency"),
+    ("language", "language"),
+    ("continent", "continent"),
+    ("mountain", "highest_mountain"),
+    ("river", "longest_river"),
+    ("lake", "largest_lake"),
+    ("animal", "national_animal"),
+    ("flower", "national_flower"),
+    ("export", "primary_export"),
+    ("occupation|job", "occupation"),
+    ("demonym|nationality", "demonym"),
+    ("birth month|born month|birthmonth", "birth_month"),
+    ("sport", "national_sport"),
+)
+#: Patterns of the subject per relation, rules in order (fixed values).
+SUBJECT_PATTERNS = (
+    ("UsedFor", "use (?:a|an|the) ([a-z ]+) to"),
+    ("MadeOf", "(?:a|an|the) ([a-z ]+) is made of"),
+    ("HasProperty", "typical ([a-z ]+) is"),
+    ("HasPart", "(?:a|an|the) ([a-z ]+) has a"),
+    ("AtLocation", "find (?:a|an|the) ([a-z ]+) in the"),
+    ("CapableOf", "(?:a|an|the) ([a-z ]+) can"),
+    ("UsedBy", "(?:a|an|the) ([a-z ]+) is used by"),
+    ("Requires", "(?:a|an|the) ([a-z ]+) requires"),
+    ("Contains", "(?:a|an|the) ([a-z ]+) contains"),
+    ("WornOn", "(?:a|an|the) ([a-z ]+) is worn on"),
+)
 #: Month names in order (fixed values).
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
@@ -136,6 +181,114 @@ def valid_idiom(c: Column) -> Column:
     return F.coalesce((F.size(F.split(blanks_to_one(c), " ")) >= 3) & last.rlike(r"^\p{L}+$") & ~c.rlike(r"[\[\](){}]") & ~F.contains(c, F.lit("__")), F.lit(False))
 
 
+def last_word(c: Column) -> Column:
+    """The last word, marks around it taken off."""
+    return F.btrim(F.element_at(F.split(blanks_to_one(c), " "), -1), F.lit(".,!?;:\"'-"))
+
+
+def blanked_last(c: Column) -> Column:
+    """The text with a blank for its last word; marks behind it stay."""
+    return F.regexp_replace(blanks_to_one(c), r"""(^|\s)\S*?([.,!?;:"'\-]*)$""", "$1____$2")
+
+
+def prompt_context(category: Column, raw: Column, question: Column) -> Column:
+    """What a prompt is about: its microstory or strange context, else the question behind its lead."""
+    field = F.when(category == "creative", F.get_json_object(raw, "$.microstory")).when(category == "ood", F.get_json_object(raw, "$.context"))
+    q = F.trim(F.coalesce(question, F.lit("")))
+    plain = F.when(F.startswith(F.lower(q), F.lit("fill the blank with one word:")), F.trim(F.regexp_replace(q, r"(?s)^[^:]*:", ""))).otherwise(q)
+    return F.coalesce(F.nullif(field, F.lit("")), plain)
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Equality of two texts, white space ignored."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    return bare(a) == bare(b)
+
+
+def source_trace(*parts: Column) -> Column:
+    """``source:relation:subject``."""
+    return F.concat_ws(":", *parts)
+
+
+def relation_of(named: Column, style: Column) -> Column:
+    """A named relation, else the one whose style's number ``C1_`` ... a style begins with."""
+    number = F.regexp_extract(style, r"^(C\d+)_", 1)
+    by_style = F.create_map(*[F.lit(x) for r, (s, _) in RELATIONS.items() for x in (s.split("_")[0], r)])
+    return F.coalesce(F.nullif(named, F.lit("")), F.when(number != "", F.try_element_at(by_style, number)))
+
+
+def relation_prefix(label: Column) -> Column:
+    """What stands before the first underscore of a relation's label."""
+    return F.split(label, "_", 2)[0]
+
+
+def stored_or(stored: Column, other: Column) -> Column:
+    """A stored value unless it is null or empty."""
+    return F.coalesce(F.nullif(stored, F.lit("")), other)
+
+
+def run_stamp(ts: Column) -> Column:
+    """``20260131_2359``."""
+    return F.date_format(ts, "yyyyMMdd_HHmm")
+
+
+def iso_stamp(ts: Column) -> Column:
+    """ISO form of a time, with microseconds where it has some."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.concat(whole, F.lit("."), F.date_format(ts, "SSSSSS")))
+
+
+def round_up_multiple(value: Column, multiple: int) -> Column:
+    """The smallest multiple that isn't below ``value``."""
+    return (F.ceil(value / multiple) * multiple).cast("bigint")
+
+
+def progress(done: Column, total: Column, seconds: Column) -> Column:
+    """struct(rate, eta, percent) of a job; no time counts as a millionth of a second, no rate as no time left."""
+    rate = done / F.greatest(seconds, F.lit(1e-6))
+    return F.struct(rate.alias("rate"), F.when(rate > 0, (total - done) / rate).otherwise(0.0).alias("eta"), F.try_divide(F.lit(100.0) * done, total).alias("percent"))
+
+
+#: Example values by type (fixed values).
+EXAMPLES = {"boolean": "true", "int": "0", "double": "0.0", "array": "[]", "map": "{}", "string": '"value"'}
+
+
+def json_example(schema: dict[str, str]) -> str:
+    """An example object for keys and types."""
+    return "{" + ", ".join(f'"{k}": {EXAMPLES[t]}' for k, t in schema.items()) + "}"
+
+
+def json_mode_system(system: Column, user: Column, schema: dict[str, str]) -> Column:
+    """The system prompt with what a JSON answer needs: the word json, and an example unless one is there."""
+    both = F.concat(system, F.lit("\n"), user)
+    word, shown = F.contains(F.lower(both), F.lit("json")), both.rlike(r'\{\s*"')
+    more = F.concat_ws("\n", F.when(~word, F.lit("Return a json object only.")), F.when(~shown, F.lit(f"Example JSON:\n{json_example(schema)}")))
+    return F.when(more == "", system).otherwise(F.concat(F.regexp_replace(system, r"\s+$", ""), F.lit("\n\n"), more))
+
+
+def json_fits(c: Column, schema: dict[str, str]) -> Column:
+    """Whether a text is a JSON object with all keys, each of its type; true and false are no numbers, whole numbers are no decimals."""
+    v = F.try_parse_json(c)
+    kinds = {"boolean": "BOOLEAN", "int": "BIGINT", "double": "(DOUBLE|FLOAT|DECIMAL.*)", "array": "ARRAY.*", "map": "OBJECT.*", "string": "STRING"}
+    ok = F.schema_of_variant(v).rlike("^OBJECT")
+    for k, t in schema.items():
+        ok = ok & F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).rlike(f"^{kinds[t]}$"), F.lit(False))
+    return F.coalesce(ok, F.lit(False))
+
+
+def merged_json(raw: Column, parsed: Column) -> Column:
+    """A map of a raw answer's fields, with those of ``parsed`` (a map) that it lacks."""
+    first = F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(parsed, lambda k, v: ~F.array_contains(F.map_keys(first), k)), first)
+
+
+def surface_set(word: Column) -> Column:
+    """Case and blank variants of a word with and without a full stop, each once."""
+    cases = F.array_distinct(F.array(word, F.lower(word), F.initcap(word), F.upper(word)))
+    forms = lambda v: F.array(v, F.concat(F.lit(" "), v), F.concat(v, F.lit(" ")), F.concat(F.lit(" "), v, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.flatten(F.transform(cases, lambda v: F.transform(forms(v), lambda f: F.array(f, F.concat(F.rtrim(f), F.lit("."))))))))
+
+
 def surface_variants(word: Column) -> Column:
     """Case, blank and full-stop variants of a word, each once, in a fixed order."""
     cases = F.array_distinct(F.array(word, F.lower(word), F.initcap(word), F.upper(word)))
@@ -171,27 +324,14 @@ def wrap_once(question: Column) -> Column:
 def infer_relation(question: Column) -> Column:
     """The common-sense relation a question's wording shows, first rule first; null if none does."""
     q = F.lower(question)
-    has = lambda *w: [F.contains(q, F.lit(x)) for x in w]
-    used, worn, req, con, has_a, find, in_the, can, made, use_a, use_an, use_the, to, typical, is_ = has(
-        "used by", "worn on", "requires", "contains", "has a", "find a", " in the ", " can ", "made of", "use a", "use an", "use the", " to ", "typical", " is "
-    )
-    return (
-        F.when(used, "UsedBy").when(worn, "WornOn").when(req, "Requires").when(con, "Contains").when(has_a, "HasPart")
-        .when(find & in_the, "AtLocation").when(can, "CapableOf").when(made, "MadeOf")
-        .when((use_a | use_an | use_the) & to, "UsedFor").when(typical & is_, "HasProperty")
-    )
+    holds = lambda groups: reduce(and_, [reduce(or_, [F.contains(q, F.lit(w)) for w in words]) for words in groups])
+    return F.coalesce(*[F.when(holds(groups), relation) for relation, groups in RELATION_RULES])
 
 
 def fact_relation(c: Column) -> Column:
     """The canonical key of a fact relation, first rule first; null if none fits."""
     r = F.translate(F.lower(F.trim(c)), "-_", "  ")
-    rules = (
-        ("capital", "capital"), ("currency", "currency"), ("language", "language"), ("continent", "continent"),
-        ("mountain", "highest_mountain"), ("river", "longest_river"), ("lake", "largest_lake"), ("animal", "national_animal"),
-        ("flower", "national_flower"), ("export", "primary_export"), ("occupation|job", "occupation"),
-        ("demonym|nationality", "demonym"), ("birth month|born month|birthmonth", "birth_month"), ("sport", "national_sport"),
-    )
-    return F.coalesce(*[F.when(r.rlike(pattern), key) for pattern, key in rules])
+    return F.coalesce(*[F.when(r.rlike(pattern), key) for pattern, key in FACT_RULES])
 
 
 def subject_key(c: Column) -> Column:
@@ -199,15 +339,11 @@ def subject_key(c: Column) -> Column:
     return blanks_to_one(F.regexp_replace(c, "[^A-Za-z ]", " "))
 
 
-def subject_of(question: Column) -> Column:
-    """The subject of a common-sense question, from the first pattern that fits; null if none does."""
+def subject_of(question: Column, relation: Column | None = None) -> Column:
+    """The subject of a common-sense question: from the first pattern that fits, or from that of ``relation`` only; null if none does."""
     q = F.lower(question)
-    patterns = (
-        "use (?:a|an|the) ([a-z ]+) to", "(?:a|an|the) ([a-z ]+) is made of", "typical ([a-z ]+) is", "(?:a|an|the) ([a-z ]+) has a",
-        "find (?:a|an|the) ([a-z ]+) in the", "(?:a|an|the) ([a-z ]+) can", "(?:a|an|the) ([a-z ]+) is used by",
-        "(?:a|an|the) ([a-z ]+) requires", "(?:a|an|the) ([a-z ]+) contains", "(?:a|an|the) ([a-z ]+) is worn on",
-    )
-    return F.coalesce(*[F.when(q.rlike(p), subject_key(F.regexp_extract(q, p, 1))) for p in patterns])
+    known = lambda r: F.lit(True) if relation is None else relation == r
+    return F.coalesce(*[F.when(known(r) & q.rlike(p), subject_key(F.regexp_extract(q, p, 1))) for r, p in SUBJECT_PATTERNS])
 
 
 def relation_question(subject: Column, relation: Column) -> Column:

@@ -25,24 +25,38 @@ def token_offsets(tokens: list[str]) -> list[tuple[int, int]]:
 
 
 def _holds(tokens: list[str], offsets: list[tuple[int, int]], a: int, b: int, match: tuple[int, int], word: str) -> bool:
-    """Whether tokens a..b cover the match and hold the word whole."""
-    if not (0 <= a <= b < len(tokens)):
+    """Whether tokens a..b cover the match, which is the word and stands whole, and hold its text."""
+    if not (0 <= a <= b < len(tokens)) or not (offsets[a][0] <= match[0] and offsets[b][1] >= match[1]):
         return False
-    return offsets[a][0] <= match[0] and offsets[b][1] >= match[1] and bool(find_spans(word, "".join(tokens[a : b + 1])) or word.lower() in "".join(tokens[a : b + 1]).lower())
+    whole = "".join(tokens)
+    if (match[0] > 0 and whole[match[0] - 1].isalnum()) or (match[1] < len(whole) and whole[match[1]].isalnum()):
+        return False
+    shown = whole[match[0] : match[1]].lower()
+    return shown == word.lower() and shown in "".join(tokens[a : b + 1]).lower()
 
 
-def map_match(tokens: list[str], offsets: list[tuple[int, int]], match: tuple[int, int], word: str) -> tuple[int, int] | None:
-    """Token span (end inclusive) of a match: smallest cover, then one token wider, then the shortest leftmost that holds it."""
+def simple_match(offsets: list[tuple[int, int]], match: tuple[int, int]) -> tuple[int, int, int, int] | None:
+    """(first token, last token, start, end) of the tokens that overlap a match, unverified; None if none does."""
     hit = [i for i, (s, e) in enumerate(offsets) if e > match[0] and s < match[1]]
-    if hit:
-        a, b = hit[0], hit[-1]
-        for x, y in ((a, b), (a - 1, b), (a, b + 1), (a - 1, b + 1)):
-            if _holds(tokens, offsets, x, y, match, word):
-                return x, y
-    for n in range(1, MOST_TOKENS + 1):
-        for a in range(len(tokens) - n + 1):
-            if _holds(tokens, offsets, a, a + n - 1, match, word):
-                return a, a + n - 1
+    return (hit[0], hit[-1], *match) if hit else None
+
+
+def map_match(tokens: list[str], offsets: list[tuple[int, int]], match: tuple[int, int], word: str) -> tuple[int, int] | None:
+    """Token span (end inclusive) of a match: smallest cover, then one token wider, then the shortest leftmost that holds it.
+
+    ``offsets`` may be those of a tokenizer and differ from the tokens' joined
+    text; then wider spans are tried.
+    """
+    if (hit := simple_match(offsets, match)) is None:
+        return None
+    a, b = hit[:2]
+    for x, y in ((a, b), (a - 1, b), (a - 1, b + 1), (a, b), (a, b + 1)):
+        if _holds(tokens, offsets, x, y, match, word):
+            return x, y
+    for n in range(1, min(MOST_TOKENS, len(tokens)) + 1):
+        for x in range(len(tokens) - n + 1):
+            if _holds(tokens, offsets, x, x + n - 1, match, word):
+                return x, x + n - 1
     return None
 
 
@@ -75,19 +89,35 @@ def detections(completions: DataFrame) -> DataFrame:
     return d.select(*completions.columns, "_d.*", adherent.alias("format_adherence"))
 
 
+#: The first line of every prompt, and the phrases around a forbidden word (fixed values).
+FIRST_LINE, NEGATION, BEFORE_TARGET, BEHIND_TARGET = "Answer with exactly one English word.", "Do not use", 'Do not use the word "', '" anywhere in your answer.'
+
+
 def prompt_spans(prompt: Column, target: Column, condition: Column) -> Column:
-    """struct of (start, end) of instruction, negation, target mention and question in a prompt; null where there is none."""
-    at = lambda needle: F.instr(prompt, F.lit(needle)) - 1
-    span = lambda start, length: F.when(start >= 0, F.struct(start.alias("start"), (start + length).alias("end")))
-    first = "Answer with exactly one English word."
-    negation, question = "Do not use", "Question: "
-    q_start = F.when(at(question) >= 0, at(question) + len(question)).otherwise(F.lit(-1))
-    q_end = F.when(F.instr(prompt, F.lit("\nAnswer:")) > 0, F.length(prompt) - F.locate(":rewsnA\n", F.reverse(prompt)) - len("\nAnswer:") + 1).otherwise(F.length(prompt))
-    mention = F.call_function("locate", target, prompt, F.greatest(at(negation), F.lit(0)) + 1) - 1
-    negative = condition == "negative"
+    """struct of (start, end) of instruction, negation, target mention and question in a prompt; null where there is none.
+
+    The instruction is the first line in the baseline and the whole prohibition
+    in the negative condition; where that line isn't worded as usual, the line
+    from ``Do not use`` on. The target is sought in quotes within it. The
+    question ends at the first ``Answer:`` line behind it, else with the prompt.
+    """
+    locate = lambda needle, start: F.call_function("locate", needle, prompt, start)
+    some = lambda start, end: F.struct((start - 1).cast("int").alias("start"), (end - 1).cast("int").alias("end"))
+    mark = "Question: "
+    asked = F.instr(prompt, F.lit(mark))
+    ended = locate(F.lit("\nAnswer:"), asked + len(mark))
+    question = F.when(asked > 0, some(asked + len(mark), F.when(ended > 0, ended).otherwise(F.length(prompt) + 1)))
+    first = F.instr(prompt, F.lit(FIRST_LINE))
+    line = F.concat(F.lit(BEFORE_TARGET), target, F.lit(BEHIND_TARGET))
+    exact, loose = F.coalesce(locate(line, F.lit(1)), F.lit(0)), F.instr(prompt, F.lit(NEGATION))
+    begin = F.when(exact > 0, exact).otherwise(loose)
+    newline = locate(F.lit("\n"), begin)
+    end = F.when(exact > 0, exact + F.length(line)).when(newline > 0, newline).otherwise(F.length(prompt) + 1)
+    mention = locate(F.concat(F.lit('"'), target, F.lit('"')), begin)
+    negative = (condition == "negative") & (begin > 0)
     return F.struct(
-        span(at(first), F.lit(len(first))).alias("instruction"),
-        F.when(negative, span(at(negation), F.lit(len(negation)))).alias("negation"),
-        F.when(negative & (mention >= 0), F.struct(mention.alias("start"), (mention + F.length(target)).alias("end"))).alias("target_mention"),
-        F.when(q_start >= 0, F.struct(q_start.alias("start"), q_end.alias("end"))).alias("question"),
+        F.when((condition == "baseline") & (first > 0), some(first, first + len(FIRST_LINE))).when(negative, some(begin, end)).alias("instruction"),
+        F.when(negative, some(begin, begin + len(NEGATION))).alias("negation"),
+        F.when(negative & (mention > 0) & (mention < end), some(mention + 1, mention + 1 + F.length(target))).alias("target_mention"),
+        question.alias("question"),
     )

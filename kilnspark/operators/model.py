@@ -52,11 +52,20 @@ def token_sequences(words: DataFrame, word: str, name: str, factory: Callable[[]
 
     variants = words.select(F.col(word).alias("word")).where("word <> ''").distinct().select("word", F.explode(surface_variants(F.col("word"))).alias("variant"))
     coded = call(variants, name, factory, "word string, variant string, ids array<int>")
-    first = F.min("variant")
-    ones = coded.where(F.size("ids") > 0).groupBy("word", "ids").agg(first.alias("v"))
+    ones = coded.where(F.size("ids") > 0).withColumn("place", F.array_position(surface_variants(F.col("word")), F.col("variant"))).groupBy("word", "ids").agg(F.min("place").alias("v"))
+    # In the order in which the variants come; a word has few.
     return ones.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "ids"))), lambda s: s["ids"]).alias("sequences"))
 
 
+def single_token_filter(validated: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose target has a variant of one token, kept / removed / processed per category)."""
+    single = single_token_words(sequences).withColumn("_ok", F.lit(True))
+    marked = validated.join(single.withColumnRenamed("word", "target_word"), "target_word", "left")
+    ok = F.coalesce("_ok", F.lit(False))
+    counts = marked.groupBy("category").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("removed"), F.count(F.lit(1)).alias("processed"))
+    return marked.where(ok).drop("_ok"), counts
+
+
 def single_token_words(sequences: DataFrame) -> DataFrame:
     """Words of which a variant is one token."""
     return sequences.where(F.exists("sequences", lambda s: F.size(s) == 1)).select("word")

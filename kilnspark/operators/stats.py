@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from kilnspark.functions.pressure import number_or_null
 
 ITERATIONS, LEVELS, SEED = 1000, (0.025, 0.975), 42
+#: Published intercept and slope of the violation curve (fixed values).
+PUBLISHED = (-2.3981, 2.2709)
+#: Most rows of a group whose whole resamples are drawn in one task.
+EXACT_ROWS = 10_000_000
 #: 2**32 times P(count <= k) of a Poisson distribution with mean 1, for k = 0..7.
 POISSON_STEPS = tuple(int(2**32 * sum(np.exp(-1.0) / float(np.prod(np.arange(1, j + 1))) for j in range(k + 1))) for k in range(8))
 
@@ -40,12 +44,15 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, id_col: str, it
 def bootstrap_exact(df: DataFrame, keys: Sequence[str], value: str, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
     """The same with NumPy's generator, drawing whole resamples per group; a generator per group.
 
-    For report tables whose groups fit one task; :func:`bootstrap_ci` has no such bound.
+    For report tables whose groups have EXACT_ROWS rows at most; a larger one
+    raises. :func:`bootstrap_ci` has no such bound.
     """
     schema = df.select(*keys).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         v = np.sort(d[value].dropna().to_numpy(float))
+        if len(v) > EXACT_ROWS:
+            raise ValueError(f"a group of {len(v)} rows is too large for whole resamples")
         out = d[list(keys)].head(1).copy()
         if len(v):
             rng = np.random.default_rng(seed)
@@ -162,6 +169,6 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
     return df.orderBy(hashed_order(F.col(id_col), seed), F.col(id_col)).limit(n)
 
 
-def largest(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows that hold the largest value, overall or per key."""
-    return df.withColumn("_m", F.max(value).over(Window.partitionBy(*keys))).where(F.col(value) == F.col("_m")).drop("_m")
+def placed(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """A report table's rows with their place in an order."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(order)))

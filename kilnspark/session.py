@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,9 +77,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="kilnspark-checkpoint-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
+    delete_at_end(spark, sc._jsc.sc().getCheckpointDir().get())
     return shared
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove a folder when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for files that are written and read again; it is removed when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    return path
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan in at least as many parts as there are cores, for stages whose cost lies in Python and not in bytes.
 

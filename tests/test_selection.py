@@ -51,8 +51,10 @@ def test_selection_equals_the_loop(spark, seed):
         want |= {x[1] for x in admitted}
     df = spark.createDataFrame(rows, SCHEMA)
     filled = select.backfilled(df, per_bin, quota, whole_ranking=True)
-    got = {r["prompt_id"] for r in select.repetition_capped(filled, quota=quota).collect()}
+    got = {r["prompt_id"] for r in select.repetition_capped(filled, quota=quota, order=select.filled_order()).collect()}
     assert got == want
+    first = select.backfilled(df, per_bin, quota).where("priority = 0").collect()
+    assert all(r["rank"] <= quota for r in first)
 
 
 def test_shortfalls(spark):
@@ -117,3 +119,21 @@ def test_lookup_join_splits_hot_keys(spark, monkeypatch):
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 200, 3)], "k string, v int")
     got = {r["i"]: r["v"] for r in joins.lookup_join(left, right, "k").collect()}
     assert got == {i: 1 if i % 3 else i for i in range(200)} | {900: None, 901: None}
+
+
+def test_running_numbers_of_a_large_key(spark):
+    df = spark.range(3_000).selectExpr("id", "if(id % 5 = 0, 'a', if(id % 977 = 3, null, 'big')) k").repartition(7)
+    got = defaultdict(list)
+    for r in select.numbered(df, ["k"], [F.col("id")]).orderBy("id").collect():
+        got[r["k"]].append(r["n"])
+    assert all(v == list(range(1, len(v) + 1)) for v in got.values()) and set(got) == {"a", "big", None}
+    assert [r["n"] for r in select.numbered(df.limit(0), ["k"], [F.col("id")]).collect()] == []
+
+
+def test_first_of_each_equals_the_ranking(spark):
+    df = spark.range(5_000).selectExpr("id", "if(id % 50 = 0, 'small', 'big') k")
+    hashed = F.pmod(F.hash("id"), F.lit(1 << 32)).cast("bigint")
+    most = spark.createDataFrame([("small", 1_000), ("big", 1_234)], "k string, n int")
+    want = select.ranked(df.withColumn("h", hashed), ["k"], [F.col("h"), F.col("id")]).where("k = 'small' or rank <= 1234")
+    got = select.first_of_each(df, "k", hashed, "id", most)
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
