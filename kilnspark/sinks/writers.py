@@ -23,6 +23,17 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], append: bool = F
     df.select(*columns).write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_exemplars(df: DataFrame, path: str) -> None:
+    """A folder of one record per exemplar (name and its fields)."""
+    df.write.mode("overwrite").partitionBy("name").json(path)
+
+
+def write_single_token(kept: DataFrame, stats: DataFrame, path: str) -> None:
+    """What the single-token filter keeps, a folder per category, and its summary."""
+    write_by_category(kept, f"{path}/kept")
+    write_jsonl(stats, f"{path}/summary")
+
+
 def write_traces(df: DataFrame, path: str) -> None:
     """Tensor traces as arrays, a folder per condition."""
     df.write.mode("append").partitionBy("condition").parquet(path)
@@ -46,11 +57,9 @@ def counts_map(df: DataFrame, key: str) -> DataFrame:
 
 def nested_tables(**tables: DataFrame) -> DataFrame:
     """One row of JSON with a sorted list of records per table; for report tables, whose size is that of their groups."""
-    out = None
-    for name, df in tables.items():
-        one = df.agg(F.array_sort(F.collect_list(F.struct(*sorted(df.columns)))).alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out.select(F.to_json(F.struct(*tables)).alias("tables_json"))
+    lists = {name: df.agg(F.array_sort(F.collect_list(F.struct(*sorted(df.columns))))).scalar().alias(name) for name, df in tables.items()}
+    one = next(iter(tables.values())).sparkSession.range(1)
+    return one.select(*lists.values()).select(F.to_json(F.struct(*tables)).alias("tables_json"))
 
 
 def batch_request(custom_id: Column, system: Column, user: Column, model: str, endpoint: str = "/v1/responses", temperature: float = 0.7, max_tokens: int = 2000) -> Column:

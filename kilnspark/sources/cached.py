@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 
 
 class CachedBindings(DataSource):
-    """Option ``path``: a file or folder of result bindings. Rows: (source, subject, object)."""
+    """Option ``path``: a file or folder of result bindings, whose files ``pattern`` names (``*.json``). Rows: (source, subject, object); the source is a folder ``source=...`` or the file's name."""
 
     @classmethod
     def name(cls) -> str:
@@ -35,21 +35,31 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
         self.subject = options.get("subject", "subject")
         self.object = options.get("object", "object")
+        self.pattern = options.get("pattern", "*.json")
+        self.skip = str(options.get("skipBroken", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.json"))) if os.path.isdir(self.path) else [self.path]
+        files = sorted(glob.glob(os.path.join(self.path, self.pattern))) if os.path.isdir(self.path) else [self.path]
         return [InputPartition(f) for f in files] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """Bindings that have both values; a file that is no JSON has none."""
-        if partition.value is None or not os.path.exists(partition.value):
+        """Bindings that have both values. A file that is missing or no JSON raises, so that no answer is left out unseen; with ``skipBroken`` it has none."""
+        if partition.value is None:
             return
-        with open(partition.value) as f:
+        try:
+            with open(partition.value, encoding="utf-8") as f:
+                content = f.read()
             try:
-                rows = json.load(f).get("results", {}).get("bindings", [])
-            except ValueError:
+                docs = [json.loads(content)]
+            except ValueError:  # an answer per line
+                docs = [json.loads(line) for line in content.splitlines() if line.strip()]
+            rows = [b for d in docs for b in d.get("results", {}).get("bindings", [])]
+        except (OSError, ValueError) as e:
+            if self.skip:
                 return
-        source = os.path.splitext(os.path.basename(partition.value))[0]
+            raise ValueError(f"no answer can be read from {partition.value}") from e
+        folder = os.path.basename(os.path.dirname(partition.value))
+        source = folder.removeprefix("source=") if folder.startswith("source=") else os.path.splitext(os.path.basename(partition.value))[0]
         for b in rows:
             if self.subject in b and self.object in b:
                 yield source, b[self.subject]["value"], b[self.object]["value"]
