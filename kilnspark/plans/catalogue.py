@@ -265,12 +265,15 @@ def format_adherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _det(spark, sf_dir).select("row_id", "format_adherence")
 
 
-@_query()
+@_query(r"""with t as (select row_id, lower(completion_text) x, lower(target_word) w from completions_greedy where completion_text is not null and target_word <> ''),
+  f as (select row_id, x, w, unnest(list_filter(range(1, greatest(length(x) - length(w) + 2, 1)), lambda i: substr(x, i, length(w)) = w)) pos from t where contains(x, w))
+  select row_id, (pos - 1)::int span_start, (pos - 1 + length(w))::int span_end from f
+  where (pos = 1 or not regexp_matches(substr(x, pos - 1, 1), '[\pL\pN]')) and not regexp_matches(substr(x, pos + length(w), 1), '[\pL\pN]')""")
 def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character spans of the target in each completion that has any."""
+    """Character spans of the target in each completion, a row each."""
     t = table(spark, sf_dir, "completions_greedy").where("completion_text is not null and target_word is not null")
     t = t.where(text.word_present(F.col("target_word"), F.col("completion_text")))
-    return t.select("row_id", text.word_spans(F.col("target_word"), F.col("completion_text")).alias("spans"))
+    return t.select("row_id", F.explode(text.word_spans(F.col("target_word"), F.col("completion_text"))).alias("s")).select("row_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
 
 
 @_query(r"""with w as (select row_id, list_filter(string_split(completion_text, ' '), lambda x: x <> '') t from completions_greedy where completion_text is not null)
@@ -329,9 +332,7 @@ def surface_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("target_word", F.size(text.surface_variants(F.col("target_word"))).cast("bigint").alias("n_variants"))
 
 
-_RELATION_SQL = """case when contains(q, 'used by') then 'UsedBy' when contains(q, 'worn on') then 'WornOn' when contains(q, 'requires') then 'Requires' when contains(q, 'contains') then 'Contains'
-  when contains(q, 'has a') then 'HasPart' when contains(q, 'find a') and contains(q, ' in the ') then 'AtLocation' when contains(q, ' can ') then 'CapableOf' when contains(q, 'made of') then 'MadeOf'
-  when (contains(q, 'use a') or contains(q, 'use an') or contains(q, 'use the')) and contains(q, ' to ') then 'UsedFor' when contains(q, 'typical') and contains(q, ' is ') then 'HasProperty' end"""
+_RELATION_SQL = "case " + " ".join(f"when {' and '.join('(' + ' or '.join(f'contains(q, {chr(39)}{w}{chr(39)})' for w in words) + ')' for words in groups)} then '{relation}'" for relation, groups in text.RELATION_RULES) + " end"
 
 
 @_query(f"select cand_id, {_RELATION_SQL} relation from (select cand_id, lower(question_text) q from candidates where question_text is not null)")
@@ -340,11 +341,11 @@ def relation_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "candidates").where("question_text is not null").select("cand_id", text.infer_relation(F.col("question_text")).alias("relation"))
 
 
-@_query("""with r as (select cand_id, replace(replace(lower(trim(string_split(source_trace, ':')[2])), '-', ' '), '_', ' ') r from candidates where source_trace like 'wikidata:%')
-  select cand_id, case when contains(r, 'capital') then 'capital' when contains(r, 'currency') then 'currency' when contains(r, 'language') then 'language' when contains(r, 'continent') then 'continent'
-  when contains(r, 'mountain') then 'highest_mountain' when contains(r, 'river') then 'longest_river' when contains(r, 'lake') then 'largest_lake' when contains(r, 'animal') then 'national_animal'
-  when contains(r, 'flower') then 'national_flower' when contains(r, 'export') then 'primary_export' when regexp_matches(r, 'occupation|job') then 'occupation' when regexp_matches(r, 'demonym|nationality') then 'demonym'
-  when regexp_matches(r, 'birth month|born month|birthmonth') then 'birth_month' when contains(r, 'sport') then 'national_sport' end relation from r""")
+_FACT_CASES = " ".join(f"when regexp_matches(r, '{p}') then '{k}'" for p, k in text.FACT_RULES)
+
+
+@_query(f"""with r as (select cand_id, replace(replace(lower(trim(string_split(source_trace, ':')[2])), '-', ' '), '_', ' ') r from candidates where source_trace like 'wikidata:%')
+  select cand_id, case {_FACT_CASES} end relation from r""")
 def fact_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical relation of each fact candidate's trace."""
     c = table(spark, sf_dir, "candidates").where(F.col("source_trace").startswith("wikidata:"))
@@ -507,7 +508,8 @@ def repetition_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole selection: thresholds, balance, back-fill, repetition cap and quota."""
     filled = select.backfilled(_once(spark, sf_dir), 100, 500, whole_ranking=True)
-    return select.repetition_capped(filled.where("word is not null").select("val_id", "category", "word", "rank"), quota=500).select("val_id", "category")
+    rows = filled.where("word is not null").select("val_id", "category", "word", "priority", "s_score", "pos")
+    return select.repetition_capped(rows, quota=500, order=select.filled_order()).select("val_id", "category")
 
 
 @_query("""select val_id, (row_number() over (partition by string_split(source_trace, ':')[2] order by val_id) - 1) % 10 style_no from validated where source_trace like 'conceptnet:%'""")
@@ -555,7 +557,10 @@ def token_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.fixed_batches(c, [F.col("row_id")], 32, ["run_condition"]).select("row_id", "batch")
 
 
-@_query()
+@_query("""with recursive c as (select row_id, export_source s, greatest(coalesce(len(generated_token_ids), 0), 0)::int k, row_number() over (partition by export_source order by row_id) n from completions_greedy where export_source is not null),
+  w as (select row_id, s, n, k cost, 0 batch, 1 filled, k used from c where n = 1 union all
+    select c.row_id, c.s, c.n, c.k, case when filled >= 64 or used + k > 256 then batch + 1 else batch end, case when filled >= 64 or used + k > 256 then 1 else filled + 1 end, case when filled >= 64 or used + k > 256 then k else used + k end from w join c on c.s = w.s and c.n = w.n + 1)
+  select row_id, s export_source, cost, batch from w""")
 def token_budget_batches_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches closed by a row cap or a token budget."""
     c = table(spark, sf_dir, "completions_greedy").select("row_id", "export_source", F.greatest(F.coalesce(F.size("generated_token_ids"), F.lit(0)), F.lit(0)).alias("cost"))
@@ -586,14 +591,14 @@ def bootstrap_violation_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ci.select("p0_bin", _r(F.col("mean"), "mean"), _r(F.col("ci_low"), "ci_low"), _r(F.col("ci_high"), "ci_high"), "n")
 
 
-@_query(f"""with {_P}, {_bootstrap_sql("select p0_bin, 'suppression_' || n metric_name, prompt_id || n id, v from (select prompt_id, p0_bin, p0 - p1 delta, (p0 - p1) / greatest(p0, 1e-9) relative from p where p0_bin is not null) unpivot (v for n in (delta, relative))", "p0_bin, metric_name", 500)}
+@_query(f"""with {_P}, {_bootstrap_sql("select p0_bin, 'suppression_' || n metric_name, prompt_id || n id, v from (select prompt_id, p0_bin, p0 - p1 delta, (p0 - p1) / greatest(p0, 1e-9) relative, ln(greatest(p0, 1e-12)) - ln(greatest(p1, 1e-12)) log from p where p0_bin is not null) unpivot (v for n in (delta, relative, log))", "p0_bin, metric_name")}
   select p0_bin, metric_name, round(mean, 6) mean, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high, n from me join ci using (p0_bin, metric_name)""")
 def bootstrap_suppression_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppression per bin with intervals, both measures in one pass."""
-    delta, relative, _ = pressure.suppression(F.col("p0"), F.col("p1"))
-    wide = _p(spark, sf_dir).where("p0_bin is not null").select("prompt_id", "p0_bin", delta.alias("delta"), relative.alias("relative"))
-    long = wide.unpivot(["prompt_id", "p0_bin"], ["delta", "relative"], "m", "v").select("p0_bin", F.concat(F.lit("suppression_"), "m").alias("metric_name"), F.concat("prompt_id", "m").alias("id"), "v")
-    ci = stats.bootstrap_ci(long, ["p0_bin", "metric_name"], "v", "id", iterations=500)
+    """Suppression per bin with intervals, all measures in one pass."""
+    delta, relative, log = pressure.suppression(F.col("p0"), F.col("p1"))
+    wide = _p(spark, sf_dir).where("p0_bin is not null").select("prompt_id", "p0_bin", delta.alias("delta"), relative.alias("relative"), log.alias("log"))
+    long = wide.unpivot(["prompt_id", "p0_bin"], ["delta", "relative", "log"], "m", "v").select("p0_bin", F.concat(F.lit("suppression_"), "m").alias("metric_name"), F.concat("prompt_id", "m").alias("id"), "v")
+    ci = stats.bootstrap_ci(long, ["p0_bin", "metric_name"], "v", "id")
     return ci.select("p0_bin", "metric_name", _r(F.col("mean"), "mean"), _r(F.col("ci_low"), "ci_low"), _r(F.col("ci_high"), "ci_high"), "n")
 
 
@@ -601,7 +606,7 @@ def bootstrap_suppression_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The violation intervals with whole resamples drawn by NumPy."""
     rows = table(spark, sf_dir, "behavior_metrics").join(_p(spark, sf_dir).select("prompt_id", "p0_bin"), "prompt_id").where("p0_bin is not null")
-    return stats.bootstrap_exact(rows.select("p0_bin", pressure.number_or_null(F.col("violation_rate")).alias("v")), ["p0_bin"], "v", iterations=200)
+    return stats.bootstrap_exact(rows.select("p0_bin", pressure.number_or_null(F.col("violation_rate")).alias("v")), ["p0_bin"], "v")
 
 
 @_query(f"""with {_DET}, w as (select prompt_id, avg(case when "condition" = 'baseline' then word_present::int end) baseline, avg(case when "condition" = 'negative' then word_present::int end) negative from det group by 1)
@@ -627,11 +632,15 @@ def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(_p(spark, sf_dir).select("prompt_id", "p0"), "prompt_id").select(F.col("word_present").cast("double").alias("y"), F.col("p0").alias("x"))
 
 
-@_query()
+@_query(f"""with recursive {_DET}, {_P}, r as materialized (select p0 x, word_present::int y, count(*) n from det join p using (prompt_id) where "condition" = 'negative' and p0 is not null group by 1, 2),
+  it(step, b0, b1) as (select 0, 0.0::double, 0.0::double union all select step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) from (
+    select step, b0, b1, sum(n * (y - q)) g0, sum(n * (y - q) * x) - b1 g1, sum(n * q * (1 - q)) h00, sum(n * q * (1 - q) * x) h01, sum(n * q * (1 - q) * x * x) + 1 h11
+    from (select step, b0, b1, x, y, n, 1 / (1 + exp(-(b0 + b1 * x))) q from it, r where step < 12) group by step, b0, b1))
+  select round(i / 100, 6) x, round(1 / (1 + exp(-(b0 + b1 * (i / 100)))), 6) p from it, range(0, 101) g(i) where step = 12""")
 def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted probability of a violation over the pressure grid."""
     b0, b1 = stats.logistic_newton(_violations(spark, sf_dir), "y", "x")
-    return spark.range(0, 101).select((F.col("id") / 100).alias("x")).withColumn("p", F.round(stats.logistic_curve(F.col("x"), b0, b1), 9))
+    return spark.range(0, 101).select(_r(F.col("id") / 100, "x"), _r(stats.logistic_curve(F.col("id") / 100, b0, b1), "p"))
 
 
 @_query()
@@ -640,10 +649,13 @@ def logistic_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.logistic_band(_violations(spark, sf_dir), "y", "x")
 
 
-@_query()
+@_query(f"""with {_DET}, {_P}, r as (select p0 x, avg(word_present::int) y, count(*) w from det join p using (prompt_id) where "condition" = 'negative' and p0 is not null group by 1),
+  c as (select x, row_number() over (order by x) k, sum(w * y) over (order by x) s, sum(w) over (order by x) t from r), z as (select * from c union all select null, 0, 0, 0),
+  m as (select a.k + 1 i, b.k j, (b.s - a.s) / (b.t - a.t) v from z a join c b on b.k > a.k), l as (select i, j k, min(v) over (partition by i order by j rows between current row and unbounded following) v from m)
+  select round(x, 9) x, round(max(v), 6) p from l join c using (k) group by x""")
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Increasing step fit of violations on pressure."""
-    return stats.isotonic(_violations(spark, sf_dir), "y", "x")
+    return stats.isotonic(_violations(spark, sf_dir), "y", "x").select(F.round("x", 9).alias("x"), _r(F.col("p"), "p"))
 
 
 # Arrays: attention, logits, patches
@@ -672,7 +684,8 @@ def _tr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _am(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("w")
-    masses = _tr(spark, sf_dir).withColumns({"instr": arrays.span_mass(w, 0, 24), "neg": arrays.span_mass(w, 0, 6), "tgt": arrays.span_mass(w, 12, 14), "qst": arrays.span_mass(w, 24, 56)})
+    at = lambda a, b: F.array(*[F.lit(i) for i in range(a, b)])
+    masses = _tr(spark, sf_dir).withColumns({"instr": arrays.mass(w, at(0, 24)), "neg": arrays.mass(w, at(0, 6)), "tgt": arrays.mass(w, at(12, 14)), "qst": arrays.mass(w, at(24, 56))})
     return masses.withColumns(arrays.attention_scores(F.col("instr"), F.col("neg"), F.col("tgt"), F.col("qst")))
 
 
@@ -719,9 +732,8 @@ _SOFT = f"""{_TR}, sm as (select vec_id, prompt_id, "condition", layer, label, {
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tr(spark, sf_dir).withColumn("m", F.array_max("logits")).withColumn("e", F.transform("logits", lambda x: F.exp(x - F.col("m"))))
-    t = t.withColumn("s", arrays.total(F.col("e")))
-    return t.select("vec_id", "prompt_id", "condition", "layer", (F.get("e", F.col("label")) / F.col("s")).alias("p_target"), (F.array_max("e") / F.col("s")).alias("p_top"), arrays.argmax(F.col("e")).alias("top_id"))
+    t = _tr(spark, sf_dir).withColumn("p", arrays.softmax_of(F.col("logits")))
+    return t.select("vec_id", "prompt_id", "condition", "layer", F.get("p", F.col("label")).alias("p_target"), F.array_max("p").alias("p_top"), arrays.argmax(F.col("p")).alias("top_id"))
 
 
 @_query(f"with {_SOFT} select vec_id, round(p_target, 6) p_target, round(p_top, 6) p_top, top_id::int top_id from pr")
@@ -802,23 +814,20 @@ def patch_effect_by_bin_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _patches(spark, sf_dir).groupBy("layer", (F.col("vec_id") % 5).cast("int").alias("bin_id")).agg(_r(F.avg(F.col("after") - F.col("before")), "delta_p"), F.count(F.lit(1)).alias("n"))
 
 
-@_query(f"""with {_PAT}, {_bootstrap_sql("select layer, vec_id::varchar id, after - before v from pe", "layer", 300)} select layer, round(mean, 6) mean, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high, n from me join ci using (layer)""")
+@_query(f"""with {_PAT}, {_bootstrap_sql("select layer, vec_id::varchar id, after - before v from pe", "layer")} select layer, round(mean, 6) mean, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high, n from me join ci using (layer)""")
 def bootstrap_patching_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patch effect per layer with its interval."""
     rows = _patches(spark, sf_dir).select("layer", "vec_id", (F.col("after") - F.col("before")).alias("v"))
-    ci = stats.bootstrap_ci(rows, ["layer"], "v", "vec_id", iterations=300)
+    ci = stats.bootstrap_ci(rows, ["layer"], "v", "vec_id")
     return ci.select("layer", _r(F.col("mean"), "mean"), _r(F.col("ci_low"), "ci_low"), _r(F.col("ci_high"), "ci_high"), "n")
 
 
 @_query(f"""with {_SOFT}, f as (select vec_id, label, e, list_sum(e) s from sm) select vec_id, round(greatest(0, least(1, 0.8 * e[label + 1] / s + 0.1 * e[11] / s + 0.5 * e[64] / s)), 6) p_sem from f""")
 def factorised_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pressure from first-token probabilities and what follows them."""
-    t = _tr(spark, sf_dir).withColumn("m", F.array_max("logits")).withColumn("e", F.transform("logits", lambda x: F.exp(x - F.col("m")))).withColumn("s", arrays.total(F.col("e")))
-    first = F.transform("e", lambda x: x / F.col("s"))
-    # One entry per term: the label may equal one of the other tokens.
-    terms = F.array(F.struct(F.col("label").alias("key"), F.lit(0.8).alias("value")), F.struct(F.lit(10).alias("key"), F.lit(0.1).alias("value")), F.struct(F.lit(63).alias("key"), F.lit(0.5).alias("value")))
-    p = arrays.total(F.transform(terms, lambda e: F.get(first, e["key"]) * e["value"]))
-    return t.select("vec_id", _r(pressure.clamp(p), "p_sem"))
+    rest = F.create_map(F.col("label"), F.lit(0.8), F.lit(10), F.lit(0.1), F.lit(63), F.lit(0.5))
+    t = _tr(spark, sf_dir).select("vec_id", arrays.softmax_of(F.col("logits")).alias("first"), rest.alias("rest"))
+    return t.select("vec_id", _r(arrays.factorised(F.col("first"), F.col("rest")), "p_sem"))
 
 
 @_query(rf"""select row_id, case when completion_text is null then null when not {_whole_sql("target_word", "completion_text")} then 0
@@ -973,14 +982,14 @@ def finish_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("row_id", reason.alias("reason"), (reason == F.col("finish_reason")).alias("agrees"))
 
 
-@_query("""with a as (select row_id, generated_token_ids g, list_position(generated_token_ids, generated_token_ids[3]) p from completions_greedy where len(generated_token_ids) >= 3)
-  select row_id, list_sum(g[1:p])::bigint id_sum from a""")
+@_query("""with a as (select row_id, list_transform(generated_token_ids, lambda x: x % 5) g from completions_greedy where generated_token_ids is not null),
+  b as (select row_id, g, list_position(g, 1) p, coalesce(list_max(list_transform(range(1, len(g) + 1), lambda i: case when g[i] <> 0 then i else 0 end)), 0) k from a)
+  select row_id, (case when p > 0 then len(g[1:p]) else k end)::int n_ids, coalesce(list_sum(case when p > 0 then g[1:p] else g[1:k] end), 0)::bigint id_sum from b""")
 def trimmed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids up to the first of the third one's kind, summed up."""
-    c = table(spark, sf_dir, "completions_greedy").where(F.size("generated_token_ids") >= 3)
-    at = F.array_position("generated_token_ids", F.get("generated_token_ids", F.lit(2))).cast("int")
-    kept = F.slice("generated_token_ids", F.lit(1), at)
-    return c.select("row_id", F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+    """Number and sum of the ids up to the first end mark or without the pads at the end; their remainders by five stand for ids, 1 ends and 0 pads."""
+    c = table(spark, sf_dir, "completions_greedy").where("generated_token_ids is not null")
+    kept = c.select("row_id", arrays.trimmed_ids(F.transform("generated_token_ids", lambda x: x % 5), 1, 0).alias("g"))
+    return kept.select("row_id", F.size("g").alias("n_ids"), F.aggregate("g", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
 
 @_query(r"""select cand_id, string_split(trim(regexp_replace(question_text, '[\s\x{a0}]+', ' ', 'g')), ' ')[1] first_word, case when length(question_text) > 50 then substr(question_text, 1, 47) || '...' else question_text end short,
@@ -992,11 +1001,7 @@ def small_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("cand_id", text.first_token(q).alias("first_word"), text.shorten(q, 50).alias("short"), text.letters_only(q).alias("letters"), F.split("source_trace", ":")[0].alias("source"))
 
 
-_SUBJECT_PATTERNS = (
-    "use (?:a|an|the) ([a-z ]+) to", "(?:a|an|the) ([a-z ]+) is made of", "typical ([a-z ]+) is", "(?:a|an|the) ([a-z ]+) has a", "find (?:a|an|the) ([a-z ]+) in the",
-    "(?:a|an|the) ([a-z ]+) can", "(?:a|an|the) ([a-z ]+) is used by", "(?:a|an|the) ([a-z ]+) requires", "(?:a|an|the) ([a-z ]+) contains", "(?:a|an|the) ([a-z ]+) is worn on",
-)
-_SUBJECT_SQL = "coalesce(" + ", ".join(f"case when regexp_matches(q, '{p}') then trim(regexp_replace(regexp_extract(q, '{p}', 1), ' +', ' ', 'g')) end" for p in _SUBJECT_PATTERNS) + ")"
+_SUBJECT_SQL = "coalesce(" + ", ".join(f"case when regexp_matches(q, '{p}') then trim(regexp_replace(regexp_extract(q, '{p}', 1), ' +', ' ', 'g')) end" for _, p in text.SUBJECT_PATTERNS) + ")"
 
 
 @_query(f"select cand_id, {_SUBJECT_SQL} subject from (select cand_id, lower(question_text) q from candidates where question_text is not null)")
@@ -1005,12 +1010,12 @@ def subject_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "candidates").where("question_text is not null").select("cand_id", text.subject_of(F.col("question_text")).alias("subject"))
 
 
-@_query(f"""with {_P}, {_bootstrap_sql("select p0_bin, prompt_id id, ln(greatest(p0, 1e-12)) - ln(greatest(p1, 1e-12)) v from p where p0_bin is not null", "p0_bin", 500)}
+@_query(f"""with {_P}, {_bootstrap_sql("select p0_bin, prompt_id id, ln(greatest(p0, 1e-12)) - ln(greatest(p1, 1e-12)) v from p where p0_bin is not null", "p0_bin")}
   select p0_bin, round(mean, 6) mean, round(mean - ci_low, 6) err_low, round(ci_high - mean, 6) err_high, n from me join ci using (p0_bin)""")
 def log_suppression_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log suppression per bin with the lengths of its error bars."""
     rows = _p(spark, sf_dir).where("p0_bin is not null").select("p0_bin", "prompt_id", pressure.suppression(F.col("p0"), F.col("p1"))[2].alias("v"))
-    bars = stats.error_bars(stats.bootstrap_ci(rows, ["p0_bin"], "v", "prompt_id", iterations=500))
+    bars = stats.error_bars(stats.bootstrap_ci(rows, ["p0_bin"], "v", "prompt_id"))
     return bars.select("p0_bin", _r(F.col("mean"), "mean"), _r(F.col("err_low"), "err_low"), _r(F.col("err_high"), "err_high"), "n")
 
 
@@ -1031,3 +1036,7 @@ def aligned_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ints = lambda *v: F.array(*[F.lit(x) for x in v])
     patched = arrays.patched_pairs(F.col("w"), F.col("other"), arrays.aligned(ints(3, 4, 5), ints(10, 11, 12, 13)))
     return both.select("vec_id", _r(arrays.total(patched), "total"))
+
+
+# The remaining queries register themselves.
+from kilnspark.plans import catalogue_files, catalogue_jobs  # noqa: E402, F401

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnspark.functions import pressure, text
+from kilnspark.functions import arrays, pressure, text
 from kilnspark.operators import detect, joins, model, select, stats
+from kilnspark.session import cut_lineage
 from kilnspark.sinks import writers
 from kilnspark.streaming.resume import missing
 
@@ -43,8 +44,10 @@ def judged(candidates: DataFrame, responses: DataFrame, shape: str) -> DataFrame
 def scored(validated: DataFrame, checkpoint: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Validated rows with p_sem and s_score; only those the checkpoint (prompt_id, p_sem) lacks are computed."""
     fresh = compute(missing(validated, checkpoint, ["prompt_id"]))
-    known = checkpoint.select("prompt_id", "p_sem").unionByName(fresh.select("prompt_id", "p_sem"))
-    once = known.groupBy("prompt_id").agg(F.first("p_sem").alias("p_sem"))
+    # A log's last record counts; without places in it, the largest.
+    placed = "_pos" in checkpoint.columns
+    stored = select.last_wins(checkpoint, ["prompt_id"], "_pos") if placed else checkpoint.groupBy("prompt_id").agg(F.max("p_sem").alias("p_sem"))
+    once = stored.select("prompt_id", "p_sem").unionByName(fresh.groupBy("prompt_id").agg(F.max("p_sem").alias("p_sem")))
     with_p = joins.lookup_join(validated.drop("p_sem", "s_score"), once, "prompt_id")
     return with_p.withColumn("s_score", pressure.selection_score(F.col("v_score"), F.col("p_sem")))
 
@@ -61,10 +64,10 @@ def selected(scored_rows: DataFrame, per_category: int = 500, per_bin: int = 100
     alone = rows.where(~F.col("category").isin("creative", "ood") & F.col("accepted"))
     best = select.best_per_target(rows.where(F.col("category").isin("creative", "ood")), ["category", "word"])
     filled = select.backfilled(alone.unionByName(best), per_bin, per_category, whole_ranking=True)
-    kept = select.repetition_capped(filled, quota=per_category)
+    kept = cut_lineage(select.repetition_capped(filled, quota=per_category, order=select.filled_order()))
     short = kept.groupBy("category").agg((F.lit(per_category) - F.count(F.lit(1))).alias("room"))
-    rest = select.ranked(missing(rows, kept, ["prompt_id"]), ["category"], [F.col("s_score").desc(), F.col("pos")])
-    fill = rest.join(F.broadcast(short), "category", "left").where(F.col("rank") <= F.coalesce("room", F.lit(per_category)))
+    rest = select.ranked(missing(rows, kept, ["prompt_id"]), ["category"], select.best_first()).where(F.col("rank") <= per_category)
+    fill = rest.join(joins.small(short), "category", "left").where(F.col("rank") <= F.coalesce("room", F.lit(per_category)))
     return kept.select(*rows.columns).unionByName(fill.select(*rows.columns))
 
 
@@ -89,10 +92,79 @@ def prompt_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def metadata(prompts: DataFrame) -> DataFrame:
-    """One row: total, counts by category and bin, hash of the content."""
-    by = lambda c, name: writers.counts_map(prompts, c).withColumnRenamed("counts", name)
-    return writers.content_hash(prompts).crossJoin(by("category", "counts_by_category")).crossJoin(by("p0_bin", "counts_by_p0_bin"))
+def metadata(prompts: DataFrame, taus: DataFrame | None = None, shortfalls: DataFrame | None = None, quota: int = 500, min_tau: float = 0.2, seeds: dict[str, int] | None = None) -> DataFrame:
+    """One row: id format, total, counts by category and bin, threshold per category, shortfalls, categories below the quota, seeds, hash of the content.
+
+    ``taus``: (category, tau); without them each category has ``min_tau``.
+    ``shortfalls``: (category, bin_id, shortfall). Every part is a row of its
+    own, put together by scalar subqueries.
+    """
+    by = lambda c: writers.counts_map(prompts, c).scalar()
+    counted = prompts.groupBy(F.coalesce("category", F.lit("")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    known = taus if taus is not None else counted.select("category", F.lit(float(min_tau)).alias("tau"))
+    tau_map = known.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", F.round("tau", 6).alias("tau")))))).scalar()
+    failing = counted.where(F.col("n") < quota).agg(F.array_sort(F.collect_list("category"))).scalar()
+    out = writers.content_hash(prompts).select(
+        F.lit("string_key").alias("prompt_id_type"),
+        F.lit("{category}_{target_word_normalized}_{hash8}").alias("prompt_id_format"),
+        F.col("n_rows").alias("total_count"),
+        by("category").alias("counts_by_category"),
+        by("p0_bin").alias("counts_by_p0_bin"),
+        tau_map.alias("tau_per_category"),
+        failing.alias("gating_failures"),
+        F.create_map(*[F.lit(x) for kv in (seeds or {"python": 42, "numpy": 42, "torch": 42}).items() for x in kv]).alias("sampling_seeds"),
+        F.lit(float(min_tau)).alias("min_pressure_threshold"),
+        "dataset_hash",
+    )
+    if shortfalls is None:
+        return out.withColumn("bin_shortfalls", F.create_map().cast("map<string,bigint>"))
+    entry = F.struct(F.concat_ws("|", "category", "bin_id").alias("key"), F.col("shortfall").cast("bigint").alias("value"))
+    return out.withColumn("bin_shortfalls", shortfalls.agg(F.map_from_entries(F.array_sort(F.collect_list(entry)))).scalar())
+
+
+def without_p1(prompts: DataFrame, p1: DataFrame) -> DataFrame:
+    """Prompts that have no P1."""
+    return prompts.join(p1.where("p1 is not null").select("prompt_id"), "prompt_id", "left_anti")
+
+
+def require_p1(prompts: DataFrame, p1: DataFrame) -> DataFrame:
+    """Prompts with their P1; ValueError naming three of those that lack it, if any does."""
+    lacking = [r[0] for r in without_p1(prompts, p1).select("prompt_id").orderBy("prompt_id").limit(3).collect()]
+    if lacking:
+        raise ValueError(f"no P1 for prompts such as {', '.join(map(str, lacking))}")
+    return joins.lookup_join(prompts.drop("p1"), p1.groupBy("prompt_id").agg(F.max("p1").alias("p1")), "prompt_id")
+
+
+def audit_rows(validated: DataFrame) -> DataFrame:
+    """The judge's audit log: one record per validated row with what was parsed of the answer and whether it is accepted."""
+    parsed = F.struct(*[F.col(f"validation.{f}").alias(f) for f in ("is_one_word_answer_enforced", "best_one_word_answer", "top3_one_word_answers", "is_X_best", "ambiguity_score", "leaks_answer", "naturalness_score", "comments")], "v_score")
+    return validated.select(
+        "prompt_id",
+        "category",
+        F.col("question_text").alias("candidate_text"),
+        "target_word",
+        F.to_json("validation").alias("raw_response_json"),
+        parsed.alias("parsed_fields"),
+        pressure.accepted(F.col("validation"), F.col("target_word")).alias("acceptance_decision"),
+    )
+
+
+def built(candidates: DataFrame, responses: DataFrame, shape: str, checkpoint: DataFrame, compute: Callable[[DataFrame], DataFrame], p1: DataFrame, per_category: int = 500, per_bin: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(prompts, metadata) from candidates: leak filter, ids, judge, pressure, selection, completeness, derived columns.
+
+    ``candidates`` have cand_id, whose order decides between equal ones.
+    """
+    kept, _ = filtered_candidates(candidates.where("question_text is not null and target_word is not null and category is not null"))
+    word = F.coalesce("target_word_normalized", F.lower("target_word"))
+    named = kept.withColumns({"target_word_normalized": word, "prompt_id": text.prompt_id(F.col("category"), word, F.col("question_text"), F.col("target_word"))})
+    once = select.first_wins(named.withColumn("_q", text.question_key(F.col("question_text"))), ["_q", "target_word_normalized"], "cand_id").drop("_q")
+    rows = cut_lineage(scored(judged(once, responses, shape).withColumns({"p_sem": F.lit(None).cast("double"), "s_score": F.lit(None).cast("double")}), checkpoint, compute).withColumn("pos", F.col("cand_id")))
+    chosen = cut_lineage(selected(rows.where("accepted"), per_category, per_bin))
+    prompts = require_p1(prompt_table(chosen), p1)
+    binned = rows.where("accepted").withColumn("bin_id", pressure.bin_id(F.col("p_sem")))
+    taus = select.chosen_tau(select.tau_ladder(binned, per_bin, per_category))
+    short = select.bin_shortfalls(select.top_per_bin(binned, per_bin), per_bin, binned)
+    return prompts, metadata(prompts, taus, short, per_category)
 
 
 def tasks(prompts: DataFrame, done: DataFrame, samples: int = 16) -> DataFrame:
@@ -117,7 +189,7 @@ def behaviour(completions: DataFrame, prompts: DataFrame, most_errors: int = 0,
     negative = found.where((F.col("condition") == "negative") & (F.col("sample_id") != ""))
     share = lambda c: F.avg(c.cast("double"))
     metrics = negative.groupBy("prompt_id").agg(
-        F.coalesce(F.first("category"), F.lit("")).alias("category"),
+        F.coalesce(F.max("category"), F.lit("")).alias("category"),
         share(F.col("word_present")).alias("violation_rate"),
         share(F.col("format_adherence")).alias("format_adherence_rate"),
         share(~F.col("word_present") & F.col("format_adherence")).alias("clean_success_rate"),
@@ -181,6 +253,31 @@ def high_pressure_subset(prompts: DataFrame, outcomes: DataFrame, seed: int = 42
     return select.balanced_subset(top, "outcome", "prompt_id", seed).select("prompt_id", "category", "p0", "p0_bin", "outcome")
 
 
+def patch_inputs(subset: DataFrame, prompts: DataFrame, outcomes: DataFrame, completions: DataFrame) -> DataFrame:
+    """The patching subset with prompt, outcome and its last greedy negative completion; rows that lack one are left out."""
+    greedy = completions.where((F.col("condition") == "negative") & (F.coalesce("sample_id", F.lit("")) == ""))
+    last = select.last_wins(greedy.select("prompt_id", "row_id", "completion_text"), ["prompt_id"], "row_id")
+    rows = subset.select("prompt_id").join(prompts, "prompt_id").join(outcomes, "prompt_id")
+    return rows.join(last.select("prompt_id", "completion_text"), "prompt_id")
+
+
+def condition_pairs(states: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, base, own): baseline and negative state of the same prompt and place; those that lack one are left out."""
+    of = lambda c, name: states.where(F.col("condition") == c).select(*keys, F.col("state").alias(name))
+    return of("negative", "own").join(of("baseline", "base"), keys)
+
+
+PATCH_TYPES = ("A", "B", "C", "D")
+
+
+def patched_states(pairs: DataFrame, target_positions: Column, aligned_pairs: Column) -> DataFrame:
+    """A row per patch type: residual (A) and attention output (B) take the last element, keys and values the positions of the target (C) or aligned pairs (D) of the baseline."""
+    last = F.array(F.size("own") - 1)
+    of = {"A": arrays.patched(F.col("own"), F.col("base"), last), "B": arrays.patched(F.col("own"), F.col("base"), last), "C": arrays.patched(F.col("own"), F.col("base"), target_positions), "D": arrays.patched_pairs(F.col("own"), F.col("base"), aligned_pairs)}
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("patch_type"), c.alias("patched")) for t, c in of.items()]))
+    return pairs.withColumn("_p", kinds).select(*pairs.columns, "_p.*")
+
+
 def patch_results(runs: DataFrame) -> DataFrame:
     """Effect of each patch: delta_p and whether the answer flips. ``runs``: p_sem_original_neg, p_sem_patched, violation flags."""
     return runs.withColumn("delta_p", F.col("p_sem_patched") - F.col("p_sem_original_neg")).withColumn("flip_indicator", (F.col("original_violation") != F.col("patched_violation")).cast("int"))

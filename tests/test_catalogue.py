@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables; the rest must run."""
+"""Every core query with SQL against DuckDB on the smallest tables; the rest must run."""
 
 import math
 import os
@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-NAMES = sorted(entry.queries())
+NAMES = sorted(entry.catalogue.QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -16,9 +16,12 @@ def test_cached_bindings(spark, tmp_path):
     (tmp_path / "P36.json").write_text(json.dumps({"results": {"bindings": [row("Norway", "Oslo"), {"subject": {"value": "x"}}]}}))
     (tmp_path / "bad.json").write_text("{")
     cached.register(spark)
-    got = spark.read.format("cached_bindings").option("path", str(tmp_path)).load()
+    broken = spark.read.format("cached_bindings").option("path", str(tmp_path)).load()
+    with pytest.raises(Exception, match=r"bad\.json"):
+        broken.collect()
+    got = spark.read.format("cached_bindings").option("path", str(tmp_path)).option("skipBroken", "true").load()
     assert [tuple(r) for r in got.collect()] == [("P36", "Norway", "Oslo")]
-    assert spark.read.format("cached_bindings").option("path", str(tmp_path / "none.json")).load().count() == 0
+    assert spark.read.format("cached_bindings").option("path", str(tmp_path / "none.json")).option("skipBroken", "true").load().count() == 0
 
 
 def test_cached_lines_stream_stops_early(spark, tmp_path):
@@ -59,16 +62,45 @@ def test_detection(spark):
     assert got["1"]["format_adherence"] and not got["3"]["format_adherence"] and got["5"]["format_adherence"] is False
 
 
-def test_prompt_spans(spark):
-    df = spark.createDataFrame([("What is 2+2?", "four")], "q string, t string")
-    from kilnspark.functions.text import build_prompt
+def spans_of(spark, prompt, target, condition):
+    df = spark.createDataFrame([(prompt, target, condition)], "p string, t string, c string")
+    r = df.select(detect.prompt_spans(F.col("p"), F.col("t"), F.col("c")).alias("s")).first()["s"]
+    return tuple(prompt[x["start"] : x["end"]] if x else None for x in (r["instruction"], r["negation"], r["target_mention"], r["question"]))
 
-    for c in ("baseline", "negative"):
-        p = build_prompt(F.col("q"), F.col("t"), F.lit(c))
-        r = df.select(p.alias("p"), detect.prompt_spans(p, F.col("t"), F.lit(c)).alias("s")).first()
-        cut = lambda x: r["p"][x["start"] : x["end"]] if x else None  # noqa: B023, E731
-        assert cut(r["s"]["instruction"]) == "Answer with exactly one English word." and cut(r["s"]["question"]) == "What is 2+2?"
-        assert (cut(r["s"]["negation"]), cut(r["s"]["target_mention"])) == ((None, None) if c == "baseline" else ("Do not use", "four"))
+
+FIRST = "Answer with exactly one English word."
+BASE = f"{FIRST}\nQuestion: What is 2+2?\nAnswer:"
+NEG = f'{FIRST}\nDo not use the word "four" anywhere in your answer.\nQuestion: What is 2+2?\nAnswer:'
+
+
+@pytest.mark.parametrize(
+    ("prompt", "target", "condition", "want"),
+    [
+        (BASE, "four", "baseline", (FIRST, None, None, "What is 2+2?")),
+        (NEG, "four", "negative", ('Do not use the word "four" anywhere in your answer.', "Do not use", "four", "What is 2+2?")),
+        (NEG.replace("four", "word"), "word", "negative", ('Do not use the word "word" anywhere in your answer.', "Do not use", "word", "What is 2+2?")),
+        (NEG.replace("four", "not"), "not", "negative", ('Do not use the word "not" anywhere in your answer.', "Do not use", "not", "What is 2+2?")),
+        (f'Do not use "four" here.\nQuestion: x\nAnswer: y\nAnswer:', "four", "negative", ('Do not use "four" here.', "Do not use", "four", "x")),
+        ("Do not use four", "four", "negative", ("Do not use four", "Do not use", None, None)),
+        ("Question: open end", "four", "negative", (None, None, None, "open end")),
+        (NEG, None, "negative", ('Do not use the word "four" anywhere in your answer.', "Do not use", None, "What is 2+2?")),
+        ("", "four", "baseline", (None, None, None, None)),
+        (NEG, "four", "other", (None, None, None, "What is 2+2?")),
+    ],
+)
+def test_prompt_spans(spark, prompt, target, condition, want):
+    assert spans_of(spark, prompt, target, condition) == want
+
+
+def test_matches_with_offsets_of_a_tokenizer():
+    tokens = ["The", " an", "swer", " is", " foo", "t", "."]
+    offsets = detect.token_offsets(tokens)
+    assert detect.map_match(tokens, offsets, (13, 17), "foot") is None  # the match is taken from another text
+    assert detect.map_match(tokens, offsets, (14, 18), "foot") == (4, 5)
+    assert detect.simple_match(offsets, (14, 18)) == (4, 5, 14, 18) and detect.simple_match(offsets, (90, 91)) is None
+    # Offsets without the blanks: the smallest cover misses the match's end, a wider one holds it.
+    assert detect.map_match(["x", "foo", "t"], [(0, 1), (1, 3), (3, 5)], (1, 5), "foot") == (1, 2)
+    assert detect.map_match(["foot", "ball"], [(0, 4), (4, 8)], (0, 4), "foot") is None  # not whole
 
 
 # Factories are made inside functions, so that workers, which don't have this module, get them by value.
@@ -170,3 +202,45 @@ def test_workers_keep_their_model():
     f = lambda: made.append(1) or (lambda d: d)
     assert model.loaded("once", f) is model.loaded("once", f) and made == [1]
     assert isinstance(model.loaded("once", f)(pd.DataFrame()), pd.DataFrame)
+
+
+def test_data_set_from_candidates_to_metadata(spark):
+    words = ["bread", "water", "stone", "wheel", "lamp", "rope"]
+    rows = [(i, ["facts", "idioms"][i % 2], f"Question {i // 2} asks for ____.", w, None, "s", "t", "{}") for i, w in enumerate(words * 4)]
+    rows += [(900, "facts", "The bread is ____.", "bread", None, "s", "t", "{}"), (901, "facts", None, "x", None, "s", "t", "{}"), (902, None, "q", "x", None, "s", "t", "{}")]
+    schema = "cand_id long, category string, question_text string, target_word string, target_word_normalized string, prompt_style_id string, source_trace string, raw_data string"
+    c = spark.createDataFrame(rows, schema)
+    from kilnspark.functions import text
+    from kilnspark.schemas import VALIDATION
+
+    ids = c.where("cand_id < 900").select(text.prompt_id(F.col("category"), F.col("target_word"), F.col("question_text"), F.col("target_word")).alias("custom_id"), "target_word", "cand_id")
+    verdict = F.concat(F.lit('{"is_X_best": true, "is_one_word_answer_enforced": true, "ambiguity_score": 1, "leaks_answer": false, "naturalness_score": 9, "best_one_word_answer": "'), "target_word", F.lit('"}'))
+    responses = ids.select("custom_id", verdict.alias("answer"), F.when(F.col("cand_id") == 3, "failed").alias("error"))
+    none = spark.createDataFrame([], "prompt_id string, p_sem double")
+    compute = lambda d: d.select("prompt_id", (F.col("cand_id") / 24).alias("p_sem"))
+    p1 = ids.select(F.col("custom_id").alias("prompt_id"), F.lit(0.1).alias("p1"))
+    prompts, meta = pipelines.built(c, responses, VALIDATION, none, compute, p1, per_category=8, per_bin=4)
+    got, m = prompts.collect(), meta.first()
+    assert len(got) == m["total_count"] == sum(m["counts_by_category"].values()) and all(r["p1"] == 0.1 for r in got)
+    assert m["counts_by_category"].get("facts") == 8 and set(m["tau_per_category"]) <= {"facts", "idioms"}
+    with pytest.raises(ValueError, match="no P1"):
+        pipelines.require_p1(prompts.drop("p1"), p1.limit(1))
+
+
+def test_the_last_record_of_a_checkpoint_counts(spark):
+    v = spark.createDataFrame([("a", 10), ("b", 20)], "prompt_id string, v_score int").withColumns({"p_sem": F.lit(None).cast("double"), "s_score": F.lit(None).cast("double")})
+    log = spark.createDataFrame([("a", 0.9, 1), ("a", 0.2, 2)], "prompt_id string, p_sem double, _pos int")
+    compute = lambda d: d.select("prompt_id", F.lit(0.5).alias("p_sem"))
+    got = {r["prompt_id"]: r["s_score"] for r in pipelines.scored(v, log, compute).collect()}
+    assert got == {"a": 10 + 20.0, "b": 20 + 50.0}
+
+
+def test_detections_decide_the_attention_step(spark):
+    from kilnspark.operators import mechanics
+
+    traces = spark.createDataFrame([("a", "negative", 3), ("b", "negative", 3), ("c", "negative", 3), ("d", "negative", 2)], "prompt_id string, condition string, n_steps int")
+    spans = "array<struct<start:int,end:int>>"
+    found = spark.createDataFrame([("a", "negative", True, False, [(1, 1)]), ("b", "negative", False, False, []), ("c", "negative", True, True, [(0, 0)])], f"prompt_id string, condition string, word_present boolean, mapping_error boolean, token_spans {spans}")
+    got = {r["prompt_id"]: (r["decision_step"], r["status"]) for r in mechanics.decisions(traces, found).collect()}
+    assert got == {"a": (1, "ok"), "b": (0, "ok"), "c": (None, "mapping_error"), "d": (None, "no_entry")}
+    assert {r["decision_step"] for r in mechanics.decisions(traces, found.limit(0)).collect()} == {0}
