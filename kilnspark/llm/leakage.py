@@ -12,10 +12,12 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kilnspark.llm import confusables
 from kilnspark.llm.confusables import consistent
 from kilnspark.session import spread
 
@@ -23,6 +25,8 @@ from kilnspark.session import spread
 LEAST, PER_ERROR = 20, 8
 #: Words in a row that make a candidate.
 GRAM = 4
+#: n-grams that a passage has left at least when every error spoils as many as it can.
+HITS = LEAST - GRAM + 1 - GRAM * (LEAST // PER_ERROR)
 #: Characters of items up to which their n-grams are broadcast; beyond it the items are taken in blocks of this size.
 BLOCK_CHARS = 20_000_000
 _HIDE = re.compile(r"<[/!]?[A-Za-z][^<>\n]{0,200}>|&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,10});|\\u[0-9A-Fa-f]{4}|\\[A-Za-z]{3,16}(?=\{)|\\[nrt\"/\\]")
@@ -46,36 +50,75 @@ def read_words(text: str) -> tuple[list[str], list[int], list[int]]:
     return words, begin, end
 
 
+def only_words(text: str) -> list[str]:
+    """The words of :func:`read_words` without their places, which most documents need not tell."""
+    if not text.isascii():
+        return read_words(text)[0]
+    shown = _HIDE.sub(" ", text) if any(mark in text for mark in "<&\\") else text
+    return [w if w.isalnum() else _NOISE.sub("", w) for w in _WORD.findall(shown.lower())]
+
+
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
+
+
+def gram_hashes(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of GRAM words in a row, by their ids; a collision only costs a look."""
+    h = np.zeros(max(0, len(words) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        h += (words[i : i + len(h)].astype(np.uint64) + np.uint64(1)) * _MIX[i % len(_MIX)]
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class Passages:
-    """Items as word ids, with their n-grams; bounded by BLOCK_CHARS."""
+    """Items as word ids, with their n-grams as sorted hashes and arrays of where they stand; bounded by BLOCK_CHARS, at about twenty bytes a word."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
-        self.grams: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        hashes, owner, place = [], [], []
         for item, text in items:
             words = [self.ids.setdefault(w, len(self.ids)) for w in read_words(text or "")[0]]
             if len(words) < LEAST:
                 continue
-            n = len(self.items)
+            h = gram_hashes(np.array(words, np.int64))
+            hashes.append(h)
+            owner.append(np.full(len(h), len(self.items), np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
             self.items.append((item, words))
-            for k in range(len(words) - GRAM + 1):
-                self.grams[tuple(words[k : k + GRAM])].append((n, k))
+        every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        order = np.argsort(every, kind="stable")
+        self.keys, starts = np.unique(every[order], return_index=True)
+        self.starts = np.append(starts, len(every))
+        self.owner, self.place = (np.concatenate([np.zeros(0, np.int32), *x])[order] for x in (owner, place))
 
     def candidates(self, words: list[int]) -> dict[int, list[tuple[int, int]]]:
-        """Per item, (place in the document, place in the item) of each n-gram in common."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for j in range(len(words) - GRAM + 1):
-            if words[j] >= 0 and words[j + GRAM - 1] >= 0:
-                for n, k in self.grams.get(tuple(words[j : j + GRAM]), ()):
-                    found[n].append((j, k))
-        return found
+        """Per item with enough of them, (place in the document, place in the item) of each n-gram in common."""
+        known = np.array(words, np.int64)
+        if len(known) < GRAM or not len(self.keys):
+            return {}
+        whole = np.lib.stride_tricks.sliding_window_view(known, GRAM).min(1) >= 0
+        if whole.sum() < HITS:
+            return {}
+        h = gram_hashes(known)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        found = np.flatnonzero(whole & (self.keys[at] == h))
+        if len(found) < HITS:
+            return {}
+        # The postings of all hits at once; items that have too few are left out before any is looked at.
+        first, n = self.starts[at[found]], self.starts[at[found] + 1] - self.starts[at[found]]
+        posting = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        item, where = self.owner[posting], np.repeat(found, n)
+        enough = np.bincount(item, minlength=len(self.items)) >= HITS
+        keep = enough[item]
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, j, k in zip(item[keep].tolist(), where[keep].tolist(), self.place[posting[keep]].tolist(), strict=True):
+            out[i].append((j, k))
+        return out
 
     def spans(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
         """(item index, first word, last word) of verified spans in a document."""
         for n, hits in self.candidates(words).items():
-            if len(hits) < LEAST - GRAM + 1 - GRAM * (LEAST // PER_ERROR):
-                continue
             item, left = self.items[n][1], list(words)
             for group in clusters(hits):
                 for first, last in verify(left, item, group):
@@ -138,11 +181,10 @@ def verify(words: list[int], item: list[int], group: list[tuple[int, int]]) -> I
     and isn't looked at again. What is left of a passage beside its span stays
     only if it is too short to be a passage itself.
     """
-    least = LEAST - GRAM + 1 - GRAM * (LEAST // PER_ERROR)
     # A hit whose words an earlier cluster's span took is none any more.
     alive = lambda hits: [(j, k) for j, k in hits if -1 not in words[j : j + GRAM]]
     group = alive(group)
-    if len({j for j, _ in group}) < least:
+    if len({j for j, _ in group}) < HITS:
         return
     low, high = max(0, group[0][0] - 2 * LEAST), min(len(words), group[-1][0] + GRAM + 2 * LEAST)
     starts = sorted({k for _, k in group})
@@ -166,7 +208,7 @@ def verify(words: list[int], item: list[int], group: list[tuple[int, int]]) -> I
                 yield span
                 words[span[0] : span[1] + 1] = [-1] * (span[1] + 1 - span[0])
                 group = alive(group)
-                if len({j for j, _ in group}) < least:
+                if len({j for j, _ in group}) < HITS:
                     return
                 # A better copy may have been taken before one just ahead of it, at most once per error.
                 at = max(at, begin - (most + 2) * n)
@@ -191,15 +233,19 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     hold nothing; items of fewer than twenty words can't leak.
     """
     spark = docs.sparkSession
+    alike = confusables.shared(spark)
     out = None
     for block in _blocks(items, item_id, item_text):
         held = spark.sparkContext.broadcast(Passages(block))
 
         def run(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            confusables.use(alike.value)
             p: Passages = held.value
             for d in parts:
                 rows = []
                 for i, t in zip(d["doc_id"], d["text"], strict=True):
+                    if not p.candidates([p.ids.get(w, -1) for w in only_words(t)]):
+                        continue
                     words, begin, end = read_words(t)
                     for n, a, b in p.spans([p.ids.get(w, -1) for w in words]):
                         rows.append((i, p.items[n][0], begin[a], end[b]))

@@ -130,3 +130,43 @@ def test_removal_of_an_edited_copy_beside_a_whole_one(spark):
     w[12], w[20] = "lantern", "lantern"
     got = cleaned_text(spark, "Before. " + " ".join(w) + " " + " ".join(words(40)) + " After.")
     assert got.startswith("Before. ") and got.endswith(" After.") and len(got) < 30
+
+
+def test_words_without_places_are_the_same():
+    for text in ("It's a well-known fact -- <b>bold</b> &amp; \\n plain, 7 o'clock.", "Plain words only", "Caffè e naïveté, ｆull width", "", "a_b c-\n  d", "x < y & z"):
+        assert leakage.only_words(text) == leakage.read_words(text)[0]
+
+
+def test_candidates_equal_those_of_a_dictionary():
+    import random
+    from collections import defaultdict
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(20)] + [(99, items_text := " ".join(words * 3))] + [(100, items_text)]
+    p = leakage.Passages(items)
+    grams = defaultdict(list)
+    for n, (_, ids) in enumerate(p.items):
+        for k in range(len(ids) - leakage.GRAM + 1):
+            grams[tuple(ids[k : k + leakage.GRAM])].append((n, k))
+    for _ in range(30):
+        doc = [p.ids.get(w, -1) for w in (r.choice([*words, "other"]) for _ in range(120))] + p.items[r.randrange(22)][1]
+        want = defaultdict(list)
+        for j in range(len(doc) - leakage.GRAM + 1):
+            for n, k in grams.get(tuple(doc[j : j + leakage.GRAM]), ()):
+                want[n].append((j, k))
+        want = {n: sorted(h) for n, h in want.items() if len(h) >= leakage.HITS}
+        assert {n: sorted(h) for n, h in p.candidates(doc).items()} == want
+    assert leakage.Passages([]).candidates(list(range(50))) == {} and p.candidates([]) == {}
+
+
+@pytest.mark.parametrize("gap", [1, 2, 5, 13, 30, 60])
+def test_two_copies_near_each_other_are_two_spans(spark, gap):
+    item = " ".join(f"item{i}" for i in range(26))
+    between = " ".join(f"between{i}" for i in range(gap))
+    text = f"Before it. {item} {between} {item} after it."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    spans = sorted((r["span_start"], r["span_end"]) for r in leakage.leaked_spans(docs, items).collect())
+    assert [text[a:b] for a, b in spans] == [item, item]
+    assert leakage.cleaned(docs, items).first()["text"].split() == f"Before it. {between} after it.".split()
