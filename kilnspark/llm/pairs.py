@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm import confusables, languages, refusals, truncation
 from kilnspark.llm.confusables import consistent
-from kilnspark.llm.truncation import bare, prompt_of
+from kilnspark.llm.truncation import bare, prompt_letters
 
 #: Words that stand for a missing value when they are all of an answer (fixed values).
 STAND_INS = frozenset(
@@ -52,10 +52,10 @@ def is_copy(text: str, question: str | None, asked: str | None) -> bool:
     """Only the question, most of it or the prompt, with the blank left open."""
     if not question:
         return False
-    letters, q, blank = bare(text), prompt_of(question)[0], "__" in text
+    letters, q, blank = bare(text), prompt_letters(question), "__" in text
     if len(letters) < 12 or (not blank and len(letters) < 0.45 * len(q)):
         return False
-    if letters in prompt_of(asked or "")[0]:
+    if letters in prompt_letters(asked or ""):
         return True
     if not blank:
         return False

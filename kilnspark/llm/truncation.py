@@ -60,6 +60,7 @@ _WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:['-][^\W_]+)*|[.!?。！？]+(?=[\s\"')\]]|$)|[,;:]")
 _MARKS = ".!?。！？"
 _BARE = re.compile(r"[\W_]+")
+_NO_LETTER = bytes(b for b in range(256) if not chr(b).isalnum() or b > 127)
 
 
 def core_of(text: str) -> str:
@@ -83,16 +84,27 @@ def measured(form: str) -> tuple[str, int]:
     return form[:end], length
 
 
+def letters_of(form: str) -> str:
+    """Letters and digits of a consistent form, in lower case."""
+    low = form.lower()
+    return low.encode().translate(None, _NO_LETTER).decode() if low.isascii() else _BARE.sub("", low)
+
+
 def bare(text: str | None) -> str:
     """Letters and digits of a text's consistent form, in lower case."""
-    return _BARE.sub("", consistent(text).lower()) if text else ""
+    return letters_of(consistent(text)) if text else ""
 
 
 @lru_cache(maxsize=4096)
-def prompt_of(asked: str) -> tuple[str, frozenset[str]]:
-    """(bare letters, words) of a prompt; its answers follow one another."""
-    low = consistent(asked).lower()
-    return _BARE.sub("", low), frozenset(_WORD.findall(low))
+def prompt_letters(asked: str) -> str:
+    """The bare letters of a prompt; its answers follow one another."""
+    return bare(asked)
+
+
+@lru_cache(maxsize=4096)
+def prompt_words(asked: str) -> frozenset[str]:
+    """The words of a prompt."""
+    return frozenset(_WORD.findall(consistent(asked).lower()))
 
 
 def ending_of(text: str | None, prompt: str) -> tuple[str, str, int]:
@@ -101,7 +113,7 @@ def ending_of(text: str | None, prompt: str) -> tuple[str, str, int]:
     An ellipsis may stand for a pause or for a cut, so a text that ends with one is as undecided as an open one.
     """
     form = consistent(text) if text else ""
-    letters = _BARE.sub("", form.lower())
+    letters = letters_of(form)
     if not letters:
         return "empty", "", 0
     core, length = measured(form)
@@ -443,12 +455,6 @@ def _state() -> Column:
     return F.when(F.col("kind").isin("open", "broken"), 1).when(F.col("kind") == "pause", 2).otherwise(0)
 
 
-def sample_of(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``df`` by a hash of their id; all of a smaller table. The same at every run."""
-    total = df.count()
-    return df if total <= rows else df.where(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
-
-
 def prompts_once(prompts: DataFrame) -> DataFrame:
     """(prompt_id, question_text, asked) once per prompt; ``asked`` holds both forms of the prompt."""
     asked = F.concat_ws("\n", "prompt_text", "negative_prompt_text", "question_text")
@@ -464,9 +470,8 @@ def endings(answers: DataFrame) -> DataFrame:
         for d in parts:
             rows = []
             for text, asked in zip(d["text"], d["asked"], strict=True):
-                letters, words = prompt_of(asked or "")
-                kind, core, length = ending_of(text, letters)
-                rows.append((kind, core, length, nearness(core, words), context_keys(core)) if kind in OPEN else (kind, core, length, 0, []))
+                kind, core, length = ending_of(text, prompt_letters(asked or ""))
+                rows.append((kind, core, length, nearness(core, prompt_words(asked or "")), context_keys(core)) if kind in OPEN else (kind, core, length, 0, []))
             kinds = pd.DataFrame(rows, columns=["kind", "core", "core_len", "near", "keys"], index=d.index)
             yield pd.concat([d[["id", "src"]], kinds], axis=1)
 
