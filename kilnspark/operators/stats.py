@@ -106,14 +106,12 @@ def logistic_curve(x: Column, b0: float, b1: float) -> Column:
     return 1 / (1 + F.exp(-(F.lit(b0) + F.lit(b1) * x)))
 
 
-def logistic_band(df: DataFrame, y: str, x: str, replicates: int = 200, points: int = 101, seed: int = SEED) -> DataFrame:
-    """(x, p, low, high): the curve with a bootstrap band.
+def _logistic_replicates(df: DataFrame, y: str, x: str, replicates: int, seed: int) -> DataFrame:
+    """(r, b0, b1) of fits to Poisson counts of (x, y) cells, x rounded to a hundredth, so that each task works on a few hundred cells whatever the table's size.
 
-    Replicates are Poisson counts of (x, y) cells, x rounded to a hundredth, so
-    each task works on at most a few hundred cells whatever the table's size.
+    Replicates of one class only have no fit and are left out.
     """
     cells = df.select(F.round(F.col(x).cast("double"), 2).alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    grid = np.linspace(0, 1, points)
 
     def fit(xs: np.ndarray, ys: np.ndarray, n: np.ndarray) -> tuple[float, float]:
         b = np.zeros(2)
@@ -132,15 +130,30 @@ def logistic_band(df: DataFrame, y: str, x: str, replicates: int = 200, points:
         r = int(d["r"].iat[0])
         d = d.sort_values(["x", "y"])
         xs, ys, n = (d[c].to_numpy(float) for c in ("x", "y", "n"))
-        k = n if r < 0 else np.random.default_rng([seed, r]).poisson(n).astype(float)
-        if (k * ys).sum() in (0.0, k.sum()):
-            return pd.DataFrame({"r": [], "x": [], "p": []}).astype({"r": "int32", "x": float, "p": float})
-        b0, b1 = fit(xs, ys, k)
-        return pd.DataFrame({"r": np.full(points, r, "int32"), "x": grid, "p": 1 / (1 + np.exp(-(b0 + b1 * grid)))})
-
-    curves = cells.withColumn("r", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).groupBy("r").applyInPandas(run, "r int, x double, p double")
-    rep = F.when(F.col("r") >= 0, F.col("p"))
-    return curves.groupBy("x").agg(F.max(F.when(F.col("r") < 0, F.col("p"))).alias("p"), F.percentile(rep, F.lit(0.025)).alias("low"), F.percentile(rep, F.lit(0.975)).alias("high"))
+        k = np.random.default_rng([seed, r]).poisson(n).astype(float)
+        rows = [] if (k * ys).sum() in (0.0, k.sum()) else [(r, *fit(xs, ys, k))]
+        return pd.DataFrame(rows, columns=["r", "b0", "b1"]).astype({"r": "int32", "b0": float, "b1": float})
+
+    return cells.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).groupBy("r").applyInPandas(run, "r int, b0 double, b1 double")
+
+
+def logistic_band(df: DataFrame, y: str, x: str, replicates: int = 200, points: int = 101, seed: int = SEED) -> DataFrame:
+    """(x, p, low, high): the curve of the exact fit with the bootstrap band of :func:`_logistic_replicates`."""
+    b0, b1 = logistic_newton(df, y, x)
+    at = (F.col("i") / (points - 1)).alias("x")
+    drawn = _logistic_replicates(df, y, x, replicates, seed).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    p = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("i") / (points - 1))))
+    band = drawn.groupBy("i").agg(F.percentile(p, F.lit(0.025)).alias("low"), F.percentile(p, F.lit(0.975)).alias("high"))
+    return band.select(at, logistic_curve(F.col("i") / (points - 1), b0, b1).alias("p"), "low", "high")
+
+
+def logistic_coefficients(df: DataFrame, y: str, x: str, replicates: int = 200, seed: int = SEED) -> DataFrame:
+    """(name, value, low, high) of intercept and slope: the exact fit with bootstrap intervals."""
+    b = logistic_newton(df, y, x)
+    drawn = _logistic_replicates(df, y, x, replicates, seed)
+    ends = drawn.agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{i}") for c in ("b0", "b1") for i, q in enumerate(LEVELS)])
+    row = lambda name, c, v: F.struct(F.lit(name).alias("name"), F.lit(v).alias("value"), F.col(f"{c}_0").alias("low"), F.col(f"{c}_1").alias("high"))
+    return ends.select(F.inline(F.array(row("intercept", "b0", b[0]), row("slope", "b1", b[1]))))
 
 
 def isotonic(df: DataFrame, y: str, x: str) -> DataFrame:

@@ -658,6 +658,12 @@ def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.isotonic(_violations(spark, sf_dir), "y", "x").select(F.round("x", 9).alias("x"), _r(F.col("p"), "p"))
 
 
+@_query()
+def logistic_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intercept and slope with their bootstrap intervals."""
+    return stats.logistic_coefficients(_violations(spark, sf_dir), "y", "x")
+
+
 # Arrays: attention, logits, patches
 
 _TR = """tr as (select vec_id, vec_id % 50 prompt_id, case when label % 2 = 0 then 'baseline' else 'negative' end "condition", (vec_id // 50 % 5)::int layer, (vec_id // 250)::int head, label,

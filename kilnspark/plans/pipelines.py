@@ -225,10 +225,10 @@ def bootstrap_table(prompts: DataFrame, behaviour_metrics: DataFrame, psem: Data
     suppression = ci(suppressed, ["metric", "p0_bin"], "v", "prompt_id")
     seen = long(attention.where("aggregate_flag = 'global_mean'").join(bins, "prompt_id").select("prompt_id", "p0_bin", "condition", *ATTENTION_METRICS), ["prompt_id", "p0_bin", "condition"], ATTENTION_METRICS)
     all_bins = bins.select("p0_bin").distinct()
-    grid = all_bins.crossJoin(F.broadcast(attention.select("condition").distinct())).crossJoin(F.broadcast(seen.select("metric").distinct()))
+    grid = all_bins.crossJoin(joins.small(attention.select("condition").distinct())).crossJoin(joins.small(seen.select("metric").distinct()))
     attended = stats.on_grid(grid, ci(seen, ["metric", "p0_bin", "condition"], "v", "prompt_id"), ["metric", "p0_bin", "condition"])
     per_prompt = patching.groupBy("prompt_id", "patch_type").agg(F.avg(pressure.number_or_null(F.col("delta_p"))).alias("v")).join(bins, "prompt_id")
-    patch_grid = all_bins.crossJoin(F.broadcast(patching.select("patch_type").distinct()))
+    patch_grid = all_bins.crossJoin(joins.small(patching.select("patch_type").distinct()))
     patched = stats.on_grid(patch_grid, ci(per_prompt, ["p0_bin", "patch_type"], "v", "prompt_id"), ["p0_bin", "patch_type"])
     parts = (
         shape(violation, F.lit("violation_rate"), key),
