@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,32 +32,29 @@ COMMON_RANK = 120
 
 _WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)*(?!\w)")
 _MARKER = re.compile(r"^\s*(?:[-*+•◦▪·–—]|\(?\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX]?\])\s+")
-_SPEAKER = re.compile(r"^\s*(?:[>|]\s*)?[A-Z][\w .'-]{0,24}:\s")
 _NUMBER = re.compile(r"^[-+]?[$€]?\d[\d.,:%/-]*$")
 _ENDS, _CLOSERS = frozenset(".!?:…。！？;"), "\"'”’)]"
 _SENTENCE = re.compile(r"[.!?。！？][\"'”’)\]]*(?=\s|$)")
-_CELLS = tuple((m, re.compile(p)) for m, p in (("|", r"\|"), ("\t", r"\t"), ("&", r"(?<=\s)&(?=\s)"), (";", r";"), (",", r","), ("  ", r"(?<=\S) {2,}(?=\S)")))
+_CELLS = (("|", None), ("\t", None), ("&", re.compile(r"(?<=\s)&(?=\s)")), (";", None), (",", None), ("  ", re.compile(r"(?<=\S) {2,}(?=\S)")))
 _NUMERAL = re.compile(r"\d")
 _TAGGED = re.compile(r"</?t(?:able|[rdh]|head|body)\b", re.I)
 #: Letters that stand side by side when text was decoded wrongly.
 _GARBLED = re.compile(r"[ÃÂâÐÑï][\u0080-¿€™œ“”‘’•–—…šž¢£¥¦§©«¬®°±²³´µ¶·¹º»¼½¾¿Â¤½]")
-_PUNCTUATION = re.compile(r"[.,;:!?\n()\"“”]")
+_PUNCTUATION = '.,;:!?\n()"“”'
 _VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôûãõåæøœąęóаеёиоуыэюяіїєαεηιουω")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}")
 
 
-@lru_cache(maxsize=8192)
-def cells_of(line: str) -> list[str]:
-    """Cells of a line by the notation that gives most; one cell if none does. A line is asked for several times in a row."""
+def cells_of(line: str, tagged: bool = False) -> list[str]:
+    """Cells of a line by the notation that gives most; one cell if none does."""
     s = line.strip()
-    if "<" in s and _TAGGED.search(s):
+    if tagged:
         return [c.strip() for c in re.sub(r"<[^>]*>", "\t", s).split("\t") if c.strip()] or [s]
     best = [s]
     for mark, sep in _CELLS:
         if mark not in s:
             continue
-        parts = [c.strip() for c in sep.split(s)]
-        parts = [c for c in parts if c]
+        parts = [t for c in (s.split(mark) if sep is None else sep.split(s)) if (t := c.strip())]
         if len(parts) > len(best):
             best = parts
     return best
@@ -90,46 +88,61 @@ def _letter(ch: str) -> tuple[bool, bool, bool, bool, bool]:
     return ch.isalpha(), ch.isdigit(), ch.isspace(), ch.isupper(), ch.isalpha() and ch.lower() in _VOWELS
 
 
-def shape_of(line: str, common: frozenset[str]) -> str:
-    """b blank, m marked item, t cells, s symbols, p words of which many are common, w other words."""
+class Line(NamedTuple):
+    """What is read of a line, once."""
+
+    text: str
+    kind: str  # t cells, s symbols, p words of which many are common, m marked item, w other words
+    bare: str  # without its marker: an item's number or bullet is layout, and its dot ends no sentence
+    words: list[str]
+    cells: list[str]
+    ended: bool
+    tagged: bool
+
+
+def read_line(line: str, common: frozenset[str]) -> Line:
+    """A line that isn't blank."""
     s = line.strip()
-    if not s:
-        return "b"
-    cells = cells_of(s)
-    if _TAGGED.search(s) or (len(cells) >= 3 and (sum(bool(_NUMBER.match(c.rstrip("\\ "))) for c in cells) >= 0.3 * len(cells) or (sum(len(c.split()) for c in cells) <= 1.5 * len(cells) and not _ended(s)))):
-        return "t"
-    words = _WORD.findall(s.lower())
-    letters = sum(map(str.isalpha, s))
-    tokens = s.split()
-    if len(tokens) > 3 and (_NUMERAL.search(s) or not s.isascii()) and sum(_token(t)[1] for t in tokens) > 0.3 * len(tokens):
-        return "s"
-    if letters < 0.5 * len(s.replace(" ", "")):
-        return "t" if re.fullmatch(r"[\s|:+=-]+", s) and "|" in s else "s"
-    if sum(w in common for w in words) >= 0.18 * len(words) and len(words) > (2 if _ended(s) else 4):
-        return "p"
-    return "m" if _MARKER.match(s) else "w"
-
-
-def runs_of(text: str, common: frozenset[str]) -> list[list[str]]:
+    m = _MARKER.match(line)
+    bare = line[m.end() :] if m is not None else line
+    words = _WORD.findall(bare.lower())
+    tagged = "<" in s and _TAGGED.search(s) is not None
+    cells, ended = cells_of(s, tagged), _ended(s)
+    if tagged or (len(cells) >= 3 and (sum(_NUMBER.match(c.rstrip("\\ ")) is not None for c in cells) >= 0.3 * len(cells) or (not ended and sum(len(c.split()) for c in cells) <= 1.5 * len(cells)))):
+        kind = "t"
+    # A token that mixes letters and digits has a digit, so few digits make no line of such tokens.
+    elif (tokens := s.split()) and len(tokens) > 3 and len(_NUMERAL.findall(s)) > 0.3 * len(tokens) and sum(_token(t)[1] for t in tokens) > 0.3 * len(tokens):
+        kind = "s"
+    # Letters are counted only where the words don't already make up half of the line.
+    elif (dense := sum(map(len, tokens))) > 2 * sum(map(len, words)) and sum(map(str.isalpha, s)) < 0.5 * dense:
+        kind = "t" if "|" in s and re.fullmatch(r"[\s|:+=-]+", s) else "s"
+    elif len(words) > (2 if ended else 4) and sum(w in common for w in words) >= 0.18 * len(words):
+        kind = "p"
+    else:
+        kind = "m" if m is not None else "w"
+    return Line(line, kind, bare, words, cells, ended, tagged)
+
+
+def runs_of(text: str, common: frozenset[str]) -> list[list[Line]]:
     """Runs of lines of like shape. Lines of wrapped prose that happen to hold no common word stay in its run."""
-    runs: list[tuple[str, list[str], bool]] = []
+    runs: list[tuple[str, list[Line], bool]] = []
     gap = True
     for line in text.split("\n"):
-        kind = shape_of(line, common)
-        if kind == "b":
+        if not line or line.isspace():
             gap = True
             continue
-        if runs and runs[-1][0] == kind:
-            runs[-1][1].append(line)
+        read = read_line(line, common)
+        if runs and runs[-1][0] == read.kind:
+            runs[-1][1].append(read)
         else:
-            runs.append((kind, [line], gap))
+            runs.append((read.kind, [read], gap))
         gap = False
-    out: list[tuple[str, list[str]]] = []
+    out: list[tuple[str, list[Line]]] = []
     for i, (kind, lines, after_gap) in enumerate(runs):
         before = out[-1] if out else None
         following = runs[i + 1] if i + 1 < len(runs) else None
         if kind == "w" and len(lines) <= 3 and before and before[0] == "p":
-            wrapped = not after_gap and not _ended(before[1][-1])
+            wrapped = not after_gap and not before[1][-1].ended
             inside = following is not None and following[0] == "p" and not after_gap and not following[2]
             if wrapped or inside:
                 before[1].extend(lines)
@@ -137,7 +150,7 @@ def runs_of(text: str, common: frozenset[str]) -> list[list[str]]:
         if before and before[0] == kind:
             before[1].extend(lines)
             continue
-        if kind == "p" and before and before[0] == "w" and len(before[1]) <= 2 and not after_gap and not _ended(before[1][-1]):
+        if kind == "p" and before and before[0] == "w" and len(before[1]) <= 2 and not after_gap and not before[1][-1].ended:
             out[-1] = ("p", before[1] + lines)
             continue
         out.append((kind, list(lines)))
@@ -152,95 +165,122 @@ FEATURES = (
 )
 
 
-def _char_counts(text: str) -> tuple[Counter[str], list[int]]:
-    """How often each character occurs, and how many are letters, digits, blanks, capitals, vowels, and letters beyond ASCII."""
-    counts, sums = Counter(text), [0] * 6
-    for ch, n in counts.items():
-        kinds = _letter(ch)
-        for i, yes in enumerate(kinds):
-            if yes:
-                sums[i] += n
-        if kinds[0] and ch > "\x7f":
-            sums[5] += n
-    return counts, sums
-
-
-def _entropy(counts: Counter[str], n: int) -> float:
-    return -sum(c / n * math.log2(c / n) for c in counts.values())
-
-
-def _plain(lines: list[str]) -> tuple[list[str], int]:
-    """Lines without their markers, and how many had one. An item's number or bullet is layout; its dot ends no sentence."""
-    out, marked = [], 0
-    for ln in lines:
-        if (m := _MARKER.match(ln)) is not None:
-            marked += 1
-            ln = ln[m.end() :]
-        out.append(ln)
-    return out, marked
-
-
-def statistics(lines: list[str], common: frozenset[str]) -> list[float]:
-    """FEATURES of a run of lines, or of a whole document."""
-    lines = [ln for ln in lines if ln.strip()]
-    text = "\n".join(lines)
-    if not text:
-        return [0.0] * len(FEATURES)
-    bare, marked = _plain(lines)
-    per_line = [_WORD.findall(ln.lower()) for ln in bare]
-    words = [w for ws in per_line for w in ws]
-    plain = "\n".join(bare)
+#: Letter, digit, blank, capital and vowel, by ASCII code.
+_ASCII = np.array([_letter(chr(i)) for i in range(128)], np.int64)
+
+
+class Chars(NamedTuple):
+    """How often each character occurs: ASCII by code, others by themselves; and how many are letters, digits, blanks, capitals, vowels, and letters beyond ASCII."""
+
+    ascii: np.ndarray
+    others: dict[str, int]
+    kinds: list[int]
+
+    @staticmethod
+    def of(text: str) -> Chars:
+        """Counts of one text."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = codes < 128
+        counts = np.bincount(codes[low], minlength=128)
+        kinds, others = [*(counts @ _ASCII).tolist(), 0], {}
+        if len(codes) != counts.sum():
+            for c, n in zip(*(x.tolist() for x in np.unique(codes[~low], return_counts=True)), strict=True):
+                others[chr(c)] = n
+                found = _letter(chr(c))
+                kinds = [k + n * yes for k, yes in zip(kinds, (*found, found[0]), strict=True)]
+        return Chars(counts, others, kinds)
+
+    def entropy(self) -> float:
+        """Bits per character."""
+        n = np.concatenate([self.ascii[self.ascii > 0], np.fromiter(self.others.values(), np.int64, len(self.others))]).astype(float)
+        if not len(n):
+            return 0.0
+        share = n / n.sum()
+        return float(-(share * np.log2(share)).sum())
+
+
+class Sums(NamedTuple):
+    """What is summed up over the lines of a run."""
+
+    chars: Chars
+    words: Counter[str]
+    word_letters: int
+    common: int
+    lines: int
+    ended: int
+    entropy: float
+
+
+def measured(lines: list[Line], common: frozenset[str]) -> tuple[list[float], Sums]:
+    """FEATURES of a run of lines, and its sums."""
+    text, plain = "\n".join([ln.text for ln in lines]), "\n".join([ln.bare for ln in lines])
+    words = [w for ln in lines for w in ln.words]
     tokens = Counter(plain.split())
     n_tokens = max(1, tokens.total())
     known = Counter(words)
-    k, n = max(1, len(words)), len(text)
-    counts, (letters, digits, spaces, upper, vowels, beyond) = _char_counts(text)
+    k, n, rows = max(1, len(words)), len(text), len(lines)
+    chars = Chars.of(text)
+    entropy = chars.entropy()
+    letters, digits, spaces, upper, vowels, beyond = chars.kinds
     dense = max(1, n - spaces)
-    cells = [cells_of(ln) for ln in lines]
-    sizes = [len(c) for c in cells]
-    mean, words_a_line = sum(sizes) / len(sizes), len(words) / len(lines)
-    numbers = mixed = longest = 0
-    for t, c in tokens.items():
-        number, mix = _token(t)
-        numbers, mixed, longest = numbers + c * number, mixed + c * mix, max(longest, len(t))
-    return [
-        math.log1p(len(lines)),
+    sizes = [len(ln.cells) for ln in lines]
+    mean, words_a_line, ended = sum(sizes) / rows, len(words) / rows, sum(ln.ended for ln in lines)
+    numbers = mixed = 0
+    if digits:  # neither is without one
+        for t, c in tokens.items():
+            if not t.isalpha():
+                number, mix = _token(t)
+                numbers, mixed = numbers + c * number, mixed + c * mix
+    longest, total = max(map(len, tokens), default=0), sum(map(len, words))
+    rare = known.keys() - common
+    hard = sum([known[w] for w in rare if _hard(w)])
+    common_words = len(words) - sum([known[w] for w in rare])
+    spread = math.sqrt(sum([(s - mean) ** 2 for s in sizes]) / rows) if max(sizes) != min(sizes) else 0.0
+    features = [
+        math.log1p(rows),
         math.log1p(n),
         words_a_line,
-        sum(len(w) * c for w, c in known.items()) / k,
+        total / k,
         math.log1p(longest),
         letters / dense,
         digits / dense,
         (dense - letters - digits) / dense,
         spaces / n,
         upper / max(1, letters),
-        sum(map(_ended, lines)) / len(lines),
+        ended / rows,
         len(_SENTENCE.findall(plain)) / k,
-        counts[","] / k,
-        sum(c for w, c in known.items() if w in common) / k,
+        int(chars.ascii[44]) / k,
+        common_words / k,
         len(known) / k,
         numbers / n_tokens,
-        marked / len(lines),
+        sum(ln.bare is not ln.text for ln in lines) / rows,
         mean,
-        math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes)),
-        sum(len(c.split()) for line in cells for c in line) / max(1, sum(sizes)),
+        spread,
+        sum([len(c.split()) for ln in lines for c in ln.cells]) / max(1, sum(sizes)),
         vowels / max(1, letters),
-        sum(c for w, c in known.items() if _hard(w)) / k,
+        hard / k,
         0.0 if not beyond else 2 * len(_GARBLED.findall(text)) / dense,
         beyond / max(1, letters),
-        _entropy(counts, n),
+        entropy,
         1 - len(set(zip(words, words[1:], strict=False))) / (len(words) - 1) if len(words) > 1 else 0.0,
-        sum(bool(_TAGGED.search(ln)) for ln in lines) / len(lines) if "<" in text else 0.0,
-        math.sqrt(sum((len(ws) - words_a_line) ** 2 for ws in per_line) / len(lines)),
+        sum(ln.tagged for ln in lines) / rows,
+        math.sqrt(sum([(len(ln.words) - words_a_line) ** 2 for ln in lines]) / rows),
         mixed / n_tokens,
-        math.log1p(len(words) / (1 + len(_PUNCTUATION.findall(plain)))),
+        math.log1p(len(words) / (1 + sum(map(plain.count, _PUNCTUATION)))),
     ]
+    return features, Sums(chars, known, total, common_words, rows, ended, entropy)
+
+
+def statistics(lines: list[str], common: frozenset[str]) -> list[float]:
+    """FEATURES of lines of text; zeros where all are blank."""
+    read = [read_line(ln, common) for ln in lines if ln.strip()]
+    return measured(read, common)[0] if read else [0.0] * len(FEATURES)
 
 
 _AT = {name: i for i, name in enumerate(FEATURES)}
 
 
-def weak_label(lines: list[str], v: list[float]) -> int | None:
+def weak_label(v: list[float]) -> int | None:
     """The kind of a run that structure alone makes sure, else None."""
     f = lambda name: v[_AT[name]]
     rows, words = math.expm1(f("lines")), math.expm1(f("chars")) * (1 - f("space_share")) / max(1.0, f("word_length"))
@@ -354,12 +394,12 @@ class KindModel:
         seen: set[str] = set()
         for t in texts:
             for run in runs_of(t, common):
-                key = "\n".join(run)
+                key = "\n".join([ln.text for ln in run])
                 if key in seen:
                     continue
                 seen.add(key)
-                v = statistics(run, common)
-                label = weak_label(run, v)
+                v = measured(run, common)[0]
+                label = weak_label(v)
                 if label is not None:
                     rows.append(v)
                     labels.append(label)
@@ -371,22 +411,30 @@ class KindModel:
         self.loss = self.trees.loss(checked, kinds), self.trees.calibrate(checked, kinds).loss(checked, kinds)
         self.trained_on = Counter(labels)
 
-    def shares(self, texts: list[str]) -> np.ndarray:
-        """Per text, the expected share of its characters that each kind has, by the calibrated probabilities of its runs.
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[float, ...]]]:
+        """Per text, the expected share of its characters that each kind has, by the calibrated probabilities of its runs, and its STATS.
 
         A text without characters is all zeros.
         """
-        rows, weights, owner = [], [], []
+        rows, weights, owner, stats = [], [], [], []
         for i, t in enumerate(texts):
+            sums = []
             for run in runs_of(t, self.common):
-                rows.append(statistics(run, self.common))
-                weights.append(sum(len("".join(ln.split())) for ln in run))
+                features, held = measured(run, self.common)
+                rows.append(features)
+                weights.append(int(held.chars.ascii.sum()) + sum(held.chars.others.values()) - held.chars.kinds[2])
                 owner.append(i)
+                sums.append(held)
+            stats.append(document_statistics(sums))
         expected = np.zeros((len(texts), len(KINDS)))
         if rows:
             np.add.at(expected, np.array(owner), self.trees.predict(np.array(rows)) * np.array(weights, float)[:, None])
         total = expected.sum(1, keepdims=True)
-        return np.divide(expected, total, out=np.zeros_like(expected), where=total > 0)
+        return np.divide(expected, total, out=np.zeros_like(expected), where=total > 0), stats
+
+    def shares(self, texts: list[str]) -> np.ndarray:
+        """The shares of :meth:`judge`."""
+        return self.judge(texts)[0]
 
 
 def common_words(lexicon: DataFrame, rank: int = COMMON_RANK) -> frozenset[str]:
@@ -396,9 +444,13 @@ def common_words(lexicon: DataFrame, rank: int = COMMON_RANK) -> frozenset[str]:
 
 
 def fit_kinds(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text") -> KindModel:
-    """The model, fitted on the TRAIN_DOCS documents of smallest hash among those that the bound above admits; they are found in one pass."""
-    known = docs.select(F.xxhash64(F.lit("sample"), id_col).alias("h"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    return KindModel(sorted(r[1] for r in known.orderBy("h", "text").limit(TRAIN_DOCS).collect()), common_words(lexicon))
+    """The model, fitted on a hash sample of about TRAIN_DOCS documents, of those the ones TRAIN_CHARS admits. Rows are counted without reading their texts."""
+    total = docs.count()
+    known = docs.select(F.xxhash64(F.lit("sample"), id_col).alias("h"), F.col(text).alias("text"))
+    if total > TRAIN_DOCS:
+        known = known.where(F.pmod("h", F.lit(1 << 40)) < int(TRAIN_DOCS / total * (1 << 40)))
+    texts = known.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select("text")
+    return KindModel(sorted(r[0] for r in texts.collect()), common_words(lexicon))
 
 
 STATS = (
@@ -407,26 +459,32 @@ STATS = (
 )
 
 
-def document_statistics(text: str, common: frozenset[str]) -> tuple[float, ...]:
-    """STATS of one whole document."""
-    lines = [ln for ln in text.split("\n") if ln.strip()]
-    bare, _ = _plain(lines)
-    known = Counter(_WORD.findall("\n".join(bare).lower()))
-    k = max(1, known.total())
-    full = "\n".join(lines)
-    counts, (letters, digits, spaces, upper, _, _) = _char_counts(full)
-    dense = max(1, len(full) - spaces)
+def document_statistics(sums: list[Sums]) -> tuple[float, ...]:
+    """STATS of a whole document from those of its runs; lines are joined by a line end."""
+    counts, others, words, kinds, lines, ended = np.zeros(128, np.int64), Counter(), Counter(), [0] * 6, 0, 0
+    for s in sums:
+        counts = counts + s.chars.ascii
+        others.update(s.chars.others)
+        words.update(s.words)
+        kinds = [a + b for a, b in zip(kinds, s.chars.kinds, strict=True)]
+        lines, ended = lines + s.lines, ended + s.ended
+    # A line end between the runs.
+    gaps = max(0, len(sums) - 1)
+    counts[10] += gaps
+    letters, digits, spaces, upper = kinds[:4]
+    n = int(counts.sum()) + others.total()
+    dense, k = max(1, n - spaces - gaps), words.total()
     shares = (
-        sum(len(w) * c for w, c in known.items()) / k,
-        (dense - letters - digits) / dense if full else 0.0,
+        sum(s.word_letters for s in sums) / max(1, k),
+        (dense - letters - digits) / dense if n else 0.0,
         digits / dense,
-        sum(map(_ended, lines)) / max(1, len(lines)),
-        sum(c for w, c in known.items() if w in common) / k,
-        len(known) / k,
+        ended / max(1, lines),
+        sum(s.common for s in sums) / max(1, k),
+        len(words) / max(1, k),
         upper / max(1, letters),
-        _entropy(counts, len(full)) if full else 0.0,
+        sums[0].entropy if len(sums) == 1 else Chars(counts, others, kinds).entropy(),
     )
-    return (len(_WORD.findall(text)), len(lines), *(round(x, 9) for x in shares))
+    return (k, lines, *(round(x, 9) for x in shares))
 
 
 def judged(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -443,8 +501,8 @@ def judged(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
         m: KindModel = model.value
         for d in parts:
             texts = d["text"].fillna("").tolist()
-            stats = pd.DataFrame([document_statistics(t, m.common) for t in texts], columns=STATS, index=d.index)
-            shares = m.shares(texts)
+            shares, rows = m.judge(texts)
+            stats = pd.DataFrame(rows, columns=STATS, index=d.index)
             kinds = [None if row.sum() == 0 else KINDS[1 + int(row[1:].argmax())] if row[1:].sum() > 0.5 else "prose" for row in shares]
             out = pd.concat([d[["doc_id"]], stats, pd.DataFrame(np.round(shares, 9), columns=[f"{k}_share" for k in KINDS], index=d.index)], axis=1)
             out["doc_kind"] = kinds
