@@ -99,7 +99,7 @@ def test_matches_with_offsets_of_a_tokenizer():
     assert detect.map_match(tokens, offsets, (14, 18), "foot") == (4, 5)
     assert detect.simple_match(offsets, (14, 18)) == (4, 5, 14, 18) and detect.simple_match(offsets, (90, 91)) is None
     # Offsets without the blanks: the smallest cover misses the match's end, a wider one holds it.
-    assert detect.map_match(["x", "foo", "t"], [(0, 1), (1, 3), (3, 5)], (1, 5), "foot") == (1, 2)
+    assert detect.map_match([" ", "foo", "t"], [(0, 1), (1, 3), (3, 5)], (1, 5), "foot") == (1, 2)
     assert detect.map_match(["foot", "ball"], [(0, 4), (4, 8)], (0, 4), "foot") is None  # not whole
 
 
