@@ -90,6 +90,8 @@ class Passages:
         order = np.argsort(every, kind="stable")
         self.keys, starts = np.unique(every[order], return_index=True)
         self.starts = np.append(starts, len(every))
+        self.maybe = np.zeros(1 << max(10, min(24, (16 * len(self.keys)).bit_length())), bool)
+        self.maybe[(self.keys >> np.uint64(40)) & np.uint64(len(self.maybe) - 1)] = True
         self.owner, self.place = (np.concatenate([np.zeros(0, np.int32), *x])[order] for x in (owner, place))
 
     def candidates(self, words: list[int]) -> dict[int, list[tuple[int, int]]]:
@@ -97,16 +99,22 @@ class Passages:
         known = np.array(words, np.int64)
         if len(known) < GRAM or not len(self.keys):
             return {}
-        whole = np.lib.stride_tricks.sliding_window_view(known, GRAM).min(1) >= 0
-        if whole.sum() < HITS:
+        h, n = gram_hashes(known), len(known) - GRAM + 1
+        # Unknown words and a table of bits leave few places to look up.
+        likely = self.maybe[(h >> np.uint64(40)) & np.uint64(len(self.maybe) - 1)]
+        for i in range(GRAM):
+            likely &= known[i : i + n] >= 0
+        found = np.flatnonzero(likely)
+        if len(found) < HITS:
             return {}
-        h = gram_hashes(known)
+        h = h[found]
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        found = np.flatnonzero(whole & (self.keys[at] == h))
+        same = self.keys[at] == h
+        found, at = found[same], at[same]
         if len(found) < HITS:
             return {}
         # The postings of all hits at once; items that have too few are left out before any is looked at.
-        first, n = self.starts[at[found]], self.starts[at[found] + 1] - self.starts[at[found]]
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
         posting = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         item, where = self.owner[posting], np.repeat(found, n)
         enough = np.bincount(item, minlength=len(self.items)) >= HITS
