@@ -280,7 +280,7 @@ def fact_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _facts(spark, sf_dir).withColumn("via", (F.length("subject") % 7).cast("string"))
     first = f.where("relation = 'capital'").select("subject", F.lit("at").alias("predicate"), F.col("via").alias("object"))
     second = f.where("relation = 'currency'").select(F.col("via").alias("subject"), F.lit("has").alias("predicate"), F.col("target").alias("object"))
-    return readers.two_hops(first.unionByName(second).distinct(), "at", "has", 60)
+    return readers.two_hops(first.unionByName(second), "at", "has", 60)
 
 
 @_query(f"""with {_WIKI}, u as (select 0 p, 'wikidata' source, * from w where relation <> 'river' union all select 1, 'restcountries', relation, upper(subject), lower(target) from w)

@@ -232,10 +232,15 @@ def triples(edges: DataFrame, predicate: str, most: int) -> DataFrame:
 
 
 def two_hops(edges: DataFrame, first: str, second: str, most: int) -> DataFrame:
-    """(subject, target) over an intermediate node."""
-    a = edges.where(F.col("predicate") == first).select("subject", F.col("object").alias("via"))
-    b = edges.where(F.col("predicate") == second).select(F.col("subject").alias("via"), F.col("object").alias("target"))
-    return a.join(b, "via").where(text.valid_target(F.col("target"))).select("subject", "target").dropDuplicates().orderBy("subject", "target").limit(most)
+    """(subject, target) over an intermediate node, the ``most`` first of all pairs by subject and target.
+
+    Before a pair over a node come all pairs of its subject with the node's smaller targets and of its target with the node's smaller
+    subjects. So no node needs more than its ``most`` first subjects and targets, and a node with many of both isn't multiplied out.
+    """
+    first_of = lambda df, c: df.dropDuplicates().withColumn("_n", F.row_number().over(Window.partitionBy("via").orderBy(c))).where(F.col("_n") <= most).drop("_n")
+    a = edges.where(F.col("predicate") == first).select("subject", F.col("object").alias("via")).where("via is not null")
+    b = edges.where(F.col("predicate") == second).select(F.col("subject").alias("via"), F.col("object").alias("target")).where(F.col("via").isNotNull() & text.valid_target(F.col("target")))
+    return first_of(a, "subject").join(first_of(b, "target"), "via").select("subject", "target").dropDuplicates().orderBy("subject", "target").limit(most)
 
 
 def united_facts(*sources: tuple[str, DataFrame]) -> DataFrame:

@@ -73,6 +73,37 @@ def test_triples_and_union(spark):
     assert sorted((r["source"], r["subject"]) for r in readers.united_facts(("one", a), ("two", b)).collect()) == [("one", "Norway"), ("two", "Chad")]
 
 
+def join_rows(df):
+    """Rows that each join of a collected query gave."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name.endswith("Join"):
+            found.append(p.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(p.plan())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_two_hops_over_hubs(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:03}")
+    rows = [(word(i), "at", f"hub{i % 2}") for i in range(300)] + [("aaa", "at", "hub1"), (word(7), "at", "lone"), ("A", "at", "dead"), ("B", "at", "none"), ("C", "at", None), (None, "at", "lone")]
+    rows += [(f"hub{i % 2}", "has", word(999 - i)) for i in range(300)] + [("hub0", "has", "x1"), ("hub0", "has", "A b"), ("dead", "has", "7"), (None, "has", "zz"), ("lone", "has", "end"), ("lone", "has", None), ("hub1", "has", "'end'")]
+    rows += rows[::3]
+    e = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    good = lambda t: t is not None and t.strip(" ").strip(".,!?;:\"'-").isalpha()
+    pairs = {(s, t) for s, p, v in rows if p == "at" and v is not None for w, q, t in rows if q == "has" and w == v and good(t)}
+    want = sorted(pairs, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    for most in (1, 5, 160, 40_000, 90_000):
+        got = readers.two_hops(e, "at", "has", most)
+        assert [tuple(r) for r in got.collect()] == want[:most]
+        assert 0 < sum(join_rows(got)) <= 3 * most * most  # three nodes reach a target; none is multiplied out beyond what is wanted
+
+
 def test_batches(spark, tmp_path):
     p = lines(tmp_path / "b.jsonl", [{"custom_id": "x", "response": {"body": {"choices": [{"message": {"content": "old"}}]}}}, {"custom_id": "x", "response": {"body": {"output_text": "new"}}}, {"response": {}}, {"custom_id": "y", "error": "bad"}])
     got = {r["custom_id"]: (r["t"], r["error"]) for r in readers.batch_responses(spark, p).select("custom_id", readers.message_text().alias("t"), "error").collect()}
